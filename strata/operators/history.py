@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators.matching import any_different, match_condition
 
@@ -17,6 +18,12 @@ OPEN = ""
 DELTA_ORDER = "delta_order"
 
 
+def history_schema(body: T.StructType) -> T.StructType:
+    """The columns of a history table over ``body``."""
+    metadata = {EFFECTIVE_FROM: T.StringType(), EFFECTIVE_TO: T.StringType(), IS_CURRENT: T.BooleanType()}
+    return T.StructType([*body.fields, *[T.StructField(name, kind) for name, kind in metadata.items()]])
+
+
 def _paired(old: DataFrame, new: DataFrame, keys: Sequence[str], tracked: Sequence[str]) -> DataFrame:
     """Full outer pairing on null-safe keys; keys are unique on both sides, so no
     key is hot. A side that is absent is a null struct."""

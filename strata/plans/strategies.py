@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strata.errors import InvalidArgument
 from strata.operators import history, search
 from strata.operators.history import DELTA_ORDER, EFFECTIVE_FROM, IS_CURRENT
-from strata.session import query
+from strata.session import query, workspace
 from strata.sources.versioned import VersionedTable, WriteResult
 
 
@@ -95,29 +95,25 @@ def scd2(
     done = target.applied(key)
     if done:
         return done
-    wanted = [*natural_key, *tracked]
-    staging = VersionedTable(target.spark, f"{target.path}/incoming")
+    body = [*natural_key, *tracked]
+    staging = VersionedTable(target.spark, workspace(target.spark, "scd2"))
     arrived = staging.stage(
         source.groupBy(*natural_key)
-        .agg(F.first(F.struct(*wanted)).alias("row"), F.count(F.lit(1)).alias("_strata_copies"))
+        .agg(F.first(F.struct(*body)).alias("row"), F.count(F.lit(1)).alias("_strata_copies"))
         .select("row.*", "_strata_copies"),
         expected_rows,
         {"delivered": F.sum("_strata_copies"), "most": F.max("_strata_copies")},
     )
     if (arrived.measures.get("most") or 0) > 1:
         raise InvalidArgument("scd2 needs one source row per natural key")
+    target.register(history.history_schema(source.select(*body).schema))
     incoming = staging.load(arrived.folders, arrived.schema)
-    if target.exists():
-        open_versions = target.read(predicate=IS_CURRENT)
-    else:
-        empty = F.lit("").alias(EFFECTIVE_FROM)
-        open_versions = incoming.where(F.lit(False)).select(*wanted, empty)
-    delta = history.history_delta(open_versions, incoming, natural_key, tracked, effective_from)
-    changes = VersionedTable(target.spark, f"{target.path}/incoming")
-    found = changes.stage(delta)
+    delta = history.history_delta(target.read(predicate=IS_CURRENT), incoming, natural_key, tracked, effective_from)
+    found = staging.stage(delta)
     if not found.rows:
-        return WriteResult(0, target.snapshot_id(), (target.head() or {"version": -1})["version"])
-    rows = changes.load(found.folders, found.schema)
+        head = target.head()
+        return WriteResult(0, head["snapshot_id"], head["version"])
+    rows = staging.load(found.folders, found.schema)
     return target.merge(rows, [*natural_key, EFFECTIVE_FROM], order_by=DELTA_ORDER, key=key)
 
 

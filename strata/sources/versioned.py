@@ -256,7 +256,8 @@ class VersionedTable:
     ) -> WriteResult:
         """Upsert whole rows on null-safe keys.
 
-        Several rows for one key need ``order_by``, and the last one wins.
+        Several rows for one key need ``order_by``, and the last one wins; an
+        ordering column the table lacks is used and dropped.
         ``rows_affected`` counts all source rows, those included. Only folders
         that hold a matching key are rewritten.
         """
@@ -269,7 +270,7 @@ class VersionedTable:
         if wanted is not None:
             extra = [name for name in ordering if name not in wanted.names]
             rows = conform(rows, wanted, extra)
-        columns = wanted.names if wanted is not None else [c for c in rows.columns if c not in ordering or c in keys]
+        columns = wanted.names if wanted is not None else rows.columns
         latest = last_per_key(rows, keys, columns, ordering)
         staged = self.stage(
             latest, expected_rows, {"delivered": F.sum("_strata_copies"), "most": F.max("_strata_copies")}
@@ -362,9 +363,9 @@ class VersionedTable:
         place = F.regexp_extract(F.col("_metadata.file_path"), r"/commits/(.+)/[0-9]+\.json$", 1)
         commits = everything.select(place.alias("place"), "version", "folders")
         newest = commits.groupBy("place").agg(F.max("version").alias("newest"))
-        write_id = F.substring_index(F.explode("folders"), "/", 1).alias("write_id")
         listed = commits.join(newest, "place").withColumn("kept", F.col("version") > F.col("newest") - keep_last)
-        usage = listed.select("kept", write_id).groupBy("write_id").agg(F.max("kept").alias("kept"))
+        named = listed.select("kept", F.explode("folders").alias("folder"))
+        usage = named.groupBy(F.substring_index("folder", "/", 1).alias("write_id")).agg(F.max("kept").alias("kept"))
         return sorted(row.write_id for row in usage.where(~F.col("kept")).collect())
 
     def expire(self, keep_last: int) -> list[str]:
