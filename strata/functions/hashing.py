@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the hash-256 text model.
 HASH_DIM = 256
@@ -21,10 +24,32 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def signed_bucket(token: Column) -> Column:
-    """(bucket, sign) of a token: byte 3 of its SHA-256 is the bucket, the lowest
-    bit of byte 4 gives the sign."""
-    digest = F.sha2(token, 256)
-    bucket = F.conv(F.substring(digest, 7, 2), 16, 10).cast("int")
-    odd = F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2
-    return F.struct(bucket.alias("bucket"), (odd * 2 - 1).alias("sign"))
+def token_codes(text: Column) -> Column:
+    """Bytes 3 and 4 of each token's SHA-256, as one number per token."""
+    return F.transform(
+        tokens(text), lambda token: F.conv(F.substring(F.sha2(token, 256), 7, 4), 16, 10).cast("int")
+    )
+
+
+def bucket_sums(codes: Sequence) -> np.ndarray:
+    """Signed token counts, one row of 256 per text. The upper byte of a code is
+    the bucket; its lowest bit gives the sign, 1 for plus."""
+    sizes = [len(some) for some in codes]
+    flat = np.concatenate([np.asarray(some, dtype="int64") for some in codes]) if sizes else np.zeros(0, "int64")
+    cell = np.repeat(np.arange(len(sizes)) * HASH_DIM, sizes) + (flat >> 8)
+    sums = np.bincount(cell, weights=(flat & 1) * 2 - 1, minlength=len(sizes) * HASH_DIM)
+    return sums.reshape(len(sizes), HASH_DIM)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def text_weights(codes: pd.Series) -> pd.Series:
+    """256 whole numbers per text."""
+    return pd.Series(list(bucket_sums(codes).astype("int32")))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def text_embedding(codes: pd.Series) -> pd.Series:
+    """256 floats of length 1 per text, all zero for a text without tokens."""
+    sums = bucket_sums(codes)
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return pd.Series(list(np.divide(sums, length, out=np.zeros(sums.shape), where=length > 0).astype("float32")))

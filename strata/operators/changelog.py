@@ -6,7 +6,7 @@ and conditional writes are judged a batch at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strata.operators.ordered import BLOCK_ROWS, running
@@ -59,13 +59,15 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
     longest run of n writes needs log2(n) joins on unique numbers.
     """
     spark = writes.sparkSession
+    folder = workspace(spark, "conditional")
     writes = writes.select("seq", "key", "if_revision")
     stored = state.select("key", F.col("revision").alias("stored"))
 
     # the last unconditional write before each write of the key
     free = F.when(F.col("if_revision") == 0, F.col("seq"))
-    seen = running(writes, ["key"], "seq", {"free_before": ("max", free)}, block_rows, before_only=True)
-    seen = seen.join(stored, "key", "left")
+    before = running(writes, ["key"], "seq", {"free_before": ("max", free)}, block_rows, before_only=True)
+    before.join(stored, "key", "left").write.parquet(f"{folder}/writes")
+    seen = spark.read.parquet(f"{folder}/writes")
 
     # only the first write naming a revision can take it
     conditional = seen.where((F.col("if_revision") > 0) & (F.col("if_revision") < F.col("seq")))
@@ -74,34 +76,30 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
     )
     claims = claims.select("key", "seq", "if_revision", "met.free_before", "met.stored")
     claims = claims.where(F.col("free_before").isNull() | (F.col("free_before") <= F.col("if_revision")))
-
-    # pointer 0: certainly committed; pointer -1: certainly not
     from_state = F.col("free_before").isNull() & F.col("if_revision").eqNullSafe(F.col("stored"))
     from_free = F.col("if_revision").eqNullSafe(F.col("free_before"))
-    pointers = claims.select(
-        "key",
-        "seq",
-        F.when(from_state | from_free, F.lit(0)).otherwise(F.col("if_revision")).cast("bigint").alias("pointer"),
-    )
-    folder = workspace(spark, "pointers")
-    step = 0
-    pointers.write.parquet(f"{folder}/0")
+    pointer = F.when(from_state | from_free, F.lit(0)).otherwise(F.col("if_revision")).cast("bigint")
+    step = claims.select("key", "seq", pointer.alias("pointer"))
+
+    # round n holds the writes still open after round n - 1, moved on; pointer 0 is
+    # a write that commits, and a write whose pointer leads nowhere drops out
+    rounds: list[str] = []
     while True:
-        table = spark.read.parquet(f"{folder}/{step}")
-        if table.where(F.col("pointer") > 0).isEmpty():
+        rounds.append(f"{folder}/round={len(rounds)}")
+        moved = Observation()
+        step.observe(moved, F.count_if(F.col("pointer") > 0).alias("open")).write.parquet(rounds[-1])
+        kept = spark.read.parquet(*rounds).where(F.col("pointer") == 0)
+        if not moved.get.get("open"):
             break
-        ahead = table.select("key", F.col("seq").alias("pointer"), F.col("pointer").alias("next"))
-        hopped = table.where(F.col("pointer") > 0).join(ahead, ["key", "pointer"], "left")
-        moved = hopped.select("key", "seq", F.coalesce("next", F.lit(-1).cast("bigint")).alias("pointer"))
-        settled = table.where(F.col("pointer") <= 0)
-        step += 1
-        settled.unionByName(moved).write.parquet(f"{folder}/{step}")
-
-    kept = table.where(F.col("pointer") == 0).select("key", "seq", F.lit(True).alias("kept"))
-    judged = seen.join(kept, ["key", "seq"], "left").withColumn(
+        opened = spark.read.parquet(rounds[-1]).where(F.col("pointer") > 0)
+        ahead = kept.unionByName(opened).select("key", F.col("seq").alias("pointer"), F.col("pointer").alias("next"))
+        step = opened.join(ahead, ["key", "pointer"]).select("key", "seq", F.col("next").alias("pointer"))
+
+    taken = kept.select("key", "seq", F.lit(True).alias("kept"))
+    judged = seen.join(taken, ["key", "seq"], "left").withColumn(
         "committed", (F.col("if_revision") == 0) | F.coalesce("kept", F.lit(False))
     )
-    taken = F.when(F.col("committed"), F.col("seq"))
-    met = running(judged, ["key"], "seq", {"met": ("max", taken)}, block_rows, before_only=True)
+    at = F.when(F.col("committed"), F.col("seq"))
+    met = running(judged, ["key"], "seq", {"met": ("max", at)}, block_rows, before_only=True)
     revision = F.when(F.col("committed"), F.col("seq")).otherwise(F.coalesce("met", "stored", F.lit(0)))
     return met.select("seq", "key", "committed", revision.cast("bigint").alias("revision"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.errors import InvalidArgument
-from strata.functions.hashing import HASH_DIM, signed_bucket, tokens
+from strata.functions.hashing import HASH_DIM, text_embedding, text_weights, token_codes
+from strata.operators.selection import top_per_group
 from strata.session import workspace
 
 # One chunk of queries is a matrix of at most this many rows x 256 numbers.
@@ -17,55 +18,17 @@ CORPUS_STEP = 1024
 
 
 def bucket_weights(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, bucket, weight): signed token counts, buckets that cancel out left out.
-
-    Copies of a token are counted inside the scan's own task; what is shuffled is
-    at most 256 numbers per task and text.
-    """
-    words = rows.select(F.col(id_column), F.explode(tokens(F.col(text_column))).alias("token"))
-    coded = words.select(id_column, signed_bucket(F.col("token")).alias("code"))
-    summed = coded.groupBy(F.col(id_column), F.col("code.bucket").alias("bucket")).agg(
-        F.sum("code.sign").cast("int").alias("weight")
-    )
-    return summed.where(F.col("weight") != 0)
-
-
-def sparse_vectors(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, buckets, weights, square): the nonzero buckets in order, their weights
-    and the sum of squares. A text without tokens has none and square 0."""
-    entries = F.array_sort(F.collect_list(F.struct("bucket", "weight")))
-    collected = (
-        bucket_weights(rows, id_column, text_column)
-        .groupBy(id_column)
-        .agg(entries.alias("entries"), F.sum(F.col("weight").cast("bigint") * F.col("weight")).alias("square"))
-    )
-    none = F.array().cast("array<int>")
-    return (
-        rows.select(id_column)
-        .join(collected, id_column, "left")
-        .select(
-            id_column,
-            F.coalesce(F.col("entries.bucket"), none).alias("buckets"),
-            F.coalesce(F.col("entries.weight"), none).alias("weights"),
-            F.coalesce("square", F.lit(0).cast("bigint")).alias("square"),
-        )
-    )
+    """(id, bucket, weight): signed token counts, buckets that cancel out left out."""
+    dense = rows.select(id_column, text_weights(token_codes(F.col(text_column))).alias("weights"))
+    return dense.select(id_column, F.posexplode("weights").alias("bucket", "weight")).where(F.col("weight") != 0)
 
 
-def embed(rows: DataFrame, id_column: str, text_column: str, model: str = "hash-256") -> DataFrame:
-    """(id, embedding): 256 floats of length 1, or all zero for an empty text."""
+def embed(rows: DataFrame, text_column: str, model: str = "hash-256", into: str = "embedding") -> DataFrame:
+    """Add the text's vector: 256 floats of length 1, all zero for an empty text.
+    Each row is embedded where it is; nothing is shuffled."""
     if model != "hash-256":
         raise InvalidArgument(f"unknown model {model}")
-    vectors = sparse_vectors(rows, id_column, text_column)
-    norm = F.sqrt(F.col("square").cast("double"))
-    by_bucket = F.map_from_arrays("buckets", "weights")
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(HASH_DIM - 1)),
-        lambda b: F.coalesce(F.element_at("by_bucket", b) / norm, F.lit(0.0)),
-    )
-    return vectors.select(id_column, "square", by_bucket.alias("by_bucket")).select(
-        id_column, dense.cast("array<float>").alias("embedding")
-    )
+    return rows.withColumn(into, text_embedding(token_codes(F.col(text_column))))
 
 
 def nearest_texts(
@@ -85,44 +48,48 @@ def nearest_texts(
     one matrix product, and a task passes on ``k`` rows per query. Dot products
     are whole numbers, so scores do not depend on the order of adding up.
     """
-    asked = sparse_vectors(queries, query_id, query_text)
-    vectors = sparse_vectors(corpus, corpus_id, corpus_text)
-    total = asked.count()
-    chunks = -(-total // QUERY_CHUNK)
+    asked = _weighted(queries, query_id, query_text)
+    vectors = _weighted(corpus, corpus_id, corpus_text)
+    chunks = -(-queries.count() // QUERY_CHUNK)
     if chunks > 1:
-        folder = workspace(queries.sparkSession, "queries")
-        numbered = asked.withColumn("_chunk", F.pmod(F.xxhash64(query_id), F.lit(chunks)))
-        numbered.write.partitionBy("_chunk").parquet(folder)
-        asked = queries.sparkSession.read.parquet(folder)
+        # every chunk reads all vectors and some queries, so both are kept
+        asked = _kept(asked.withColumn("_chunk", F.pmod(F.xxhash64(query_id), F.lit(chunks))), "_chunk")
+        vectors = _kept(vectors)
     schema = (
         f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, "
         f"`{corpus_id}` {corpus.schema[corpus_id].dataType.simpleString()}, score double"
     )
-    found = None
+    found = queries.sparkSession.createDataFrame([], schema)
     for chunk in range(chunks):
-        part = asked.where(F.col("_chunk") == chunk).drop("_chunk") if chunks > 1 else asked
-        best = vectors.mapInPandas(_scorer(part, query_id, corpus_id, k), schema)
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(corpus_id))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        part = asked.where(F.col("_chunk") == chunk) if chunks > 1 else asked
+        found = found.unionByName(vectors.mapInPandas(_scorer(part, query_id, corpus_id, k), schema))
+    return top_per_group(found, [query_id], [F.desc("score"), F.asc(corpus_id)], k)
+
+
+def _weighted(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return rows.select(id_column, text_weights(token_codes(F.col(text_column))).alias("weights"))
+
+
+def _kept(rows: DataFrame, *partition_by: str) -> DataFrame:
+    folder = workspace(rows.sparkSession, "vectors")
+    rows.write.partitionBy(*partition_by).parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
 
 
 def _scorer(part: DataFrame, query_id: str, corpus_id: str, k: int):
-    rows = part.toPandas()
-    shared = part.sparkSession.sparkContext.broadcast(
-        (rows[query_id].to_numpy(), _dense(rows), rows["square"].to_numpy(dtype="float64"))
-    )
+    rows = part.select(query_id, "weights").toPandas()
+    shared = part.sparkSession.sparkContext.broadcast((rows[query_id].to_numpy(), _matrix(rows)))
 
     def score(batches):
-        names, matrix, squares = shared.value
+        names, matrix = shared.value
+        squares = (matrix * matrix).sum(axis=1)
         best = None
         for batch in batches:
             for start in range(0, len(batch), CORPUS_STEP):
                 some = batch.iloc[start : start + CORPUS_STEP]
-                dots = matrix @ _dense(some).T
-                lengths = np.sqrt(squares[:, None] * some["square"].to_numpy(dtype="float64")[None, :])
+                texts = _matrix(some)
+                lengths = np.sqrt(np.outer(squares, (texts * texts).sum(axis=1)))
+                dots = matrix @ texts.T
                 scores = np.divide(dots, lengths, out=np.zeros(dots.shape), where=lengths > 0)
                 best = _keep_best(best, some[corpus_id].to_numpy(), scores, k)
         if best is not None:
@@ -144,8 +111,5 @@ def _keep_best(best, ids, scores, k):
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
-def _dense(rows: pd.DataFrame) -> np.ndarray:
-    matrix = np.zeros((len(rows), HASH_DIM))
-    for at, (buckets, weights) in enumerate(zip(rows["buckets"], rows["weights"])):
-        matrix[at, np.asarray(buckets, dtype="int64")] = weights
-    return matrix
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["weights"]).astype("float64") if len(rows) else np.zeros((0, HASH_DIM))

@@ -109,12 +109,7 @@ def scd2(
     target.register(history.history_schema(source.select(*body).schema))
     incoming = staging.load(arrived.folders, arrived.schema)
     delta = history.history_delta(target.read(predicate=IS_CURRENT), incoming, natural_key, tracked, effective_from)
-    found = staging.stage(delta)
-    if not found.rows:
-        head = target.head()
-        return WriteResult(0, head["snapshot_id"], head["version"])
-    rows = staging.load(found.folders, found.schema)
-    return target.merge(rows, [*natural_key, EFFECTIVE_FROM], order_by=DELTA_ORDER, key=key)
+    return target.merge(delta, [*natural_key, EFFECTIVE_FROM], order_by=DELTA_ORDER, key=key, skip_empty=True)
 
 
 def scd2_table(spark, path: str, identifier: str | None = None) -> VersionedTable:
@@ -128,7 +123,12 @@ def scd2_as_of(target: VersionedTable, moment: str) -> DataFrame:
 
 
 def incremental_embed(
-    target: VersionedTable, source: DataFrame, id_column: str, text_column: str, watermark: str, key: str = ""
+    target: VersionedTable,
+    source: DataFrame,
+    unique_key: Sequence[str],
+    text_column: str,
+    watermark: str,
+    key: str = "",
 ) -> WriteResult:
     """Merge new rows past the watermark with their embedding; rows that already
     have a vector are left alone."""
@@ -138,6 +138,5 @@ def incremental_embed(
     fresh = past_mark(target, source, watermark)
     if target.exists():
         unembedded = target.read().where(F.col("embedding").isNull()).drop("embedding")
-        fresh = fresh.unionByName(unembedded.join(fresh.select(id_column), id_column, "left_anti"))
-    vectors = search.embed(fresh, id_column, text_column)
-    return target.merge(fresh.join(vectors, id_column), [id_column], order_by=watermark, key=key)
+        fresh = fresh.unionByName(unembedded.join(fresh.select(*unique_key), list(unique_key), "left_anti"))
+    return target.merge(search.embed(fresh, text_column), unique_key, order_by=watermark, key=key)

@@ -238,9 +238,12 @@ class VersionedTable:
                 return self.commit(folders, staged.schema, "append", staged.rows, version, key)
             except FailedPrecondition:
                 # appends commute, so a lost race just moves on to the new head
+                lost_at = version
                 done, head, version = self.begin(key, expected_version)
                 if done:
                     return done
+                if version == lost_at:
+                    raise
                 conform(rows, T.StructType.fromJson(head["schema"]))
 
     def overwrite(self, rows: DataFrame, key="", expected_rows=None, expected_version=None) -> WriteResult:
@@ -252,14 +255,22 @@ class VersionedTable:
         return self.commit(staged.folders, staged.schema, "overwrite", staged.rows, version, key)
 
     def merge(
-        self, rows: DataFrame, keys: Sequence[str], order_by=None, key="", expected_rows=None, expected_version=None
+        self,
+        rows: DataFrame,
+        keys: Sequence[str],
+        order_by=None,
+        key="",
+        expected_rows=None,
+        expected_version=None,
+        skip_empty=False,
     ) -> WriteResult:
         """Upsert whole rows on null-safe keys.
 
         Several rows for one key need ``order_by``, and the last one wins; an
         ordering column the table lacks is used and dropped.
         ``rows_affected`` counts all source rows, those included. Only folders
-        that hold a matching key are rewritten.
+        that hold a matching key are rewritten. With ``skip_empty`` a source
+        without rows adds no version.
         """
         self._need_keys(keys)
         done, head, version = self.begin(key, expected_version)
@@ -278,6 +289,8 @@ class VersionedTable:
         if not ordering and (staged.measures.get("most") or 0) > 1:
             raise InvalidArgument("several source rows share a merge key: name an order_by column")
         delivered = staged.measures.get("delivered") or 0
+        if skip_empty and not delivered:
+            return WriteResult(0, head["snapshot_id"] if head else "", version)
         folders = self._replacing(head, staged, keys)
         return self.commit(folders, staged.schema, "merge", delivered, version, key)
 
@@ -293,7 +306,7 @@ class VersionedTable:
         if head:
             rows = conform(rows, T.StructType.fromJson(head["schema"]))
         staged = self.stage(rows, expected_rows)
-        folders = self._replacing(head, staged, keys)
+        folders = self._replacing(head, staged, keys, repeated=True)
         return self.commit(folders, staged.schema, "delete_insert", staged.rows, version, key)
 
     @staticmethod
@@ -301,12 +314,14 @@ class VersionedTable:
         if not keys:
             raise InvalidArgument("merge keys are required")
 
-    def _replacing(self, head: dict | None, staged: Staged, keys: Sequence[str]) -> list[str]:
-        """Folders of the table once ``staged`` has replaced matching rows."""
+    def _replacing(self, head: dict | None, staged: Staged, keys: Sequence[str], repeated=False) -> list[str]:
+        """Folders of the table once ``staged`` has replaced matching rows.
+        ``repeated`` says that staged keys may come more than once."""
         if not head or not head["folders"] or not staged.rows:
             return [*(head["folders"] if head else ()), *(staged.folders if staged.rows or not head else ())]
         schema = T.StructType.fromJson(head["schema"])
-        incoming = self.load(staged.folders, schema).select(*keys).distinct().alias("incoming")
+        incoming = self.load(staged.folders, schema).select(*keys)
+        incoming = (incoming.distinct() if repeated else incoming).alias("incoming")
         located = self.load(head["folders"], schema, with_folder=True).select(*keys, "_folder").alias("present")
         touched = {
             row._folder
@@ -368,13 +383,33 @@ class VersionedTable:
         usage = named.groupBy(F.substring_index("folder", "/", 1).alias("write_id")).agg(F.max("kept").alias("kept"))
         return sorted(row.write_id for row in usage.where(~F.col("kept")).collect())
 
+    def abandoned_folders(self, older_than_s: float = 86400.0) -> list[str]:
+        """Write folders no commit lists whose newest file is older than that:
+        what failed or refused writes left behind."""
+        written = (
+            self.spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .load(self.data)
+            .select(F.regexp_extract("path", r"/data/(_write=[0-9a-f]{32})/", 1).alias("write_id"), "modificationTime")
+            .groupBy("write_id")
+            .agg(F.max("modificationTime").alias("newest"))
+            .where(F.col("newest") < F.timestamp_seconds(F.lit(time.time() - older_than_s)))
+        )
+        commits = self.spark.read.schema("folders array<string>").json(f"{self.path}/commits/*/*.json")
+        listed = commits.select(F.explode("folders").alias("folder"))
+        used = listed.select(F.substring_index("folder", "/", 1).alias("write_id")).distinct()
+        return sorted(row.write_id for row in written.join(used, "write_id", "left_anti").collect())
+
+    def remove(self, folders: Sequence[str]) -> None:
+        """Delete write folders from disk."""
+        for folder in folders:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.data}/{folder}")
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
     def expire(self, keep_last: int) -> list[str]:
         """Delete the data only old versions need; those versions stop reading."""
         gone = self.unused_folders(keep_last)
-        jvm = self.spark._jvm
-        for folder in gone:
-            target = jvm.org.apache.hadoop.fs.Path(f"{self.data}/{folder}")
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.remove(gone)
         return gone
 
     # -- branches ----------------------------------------------------------

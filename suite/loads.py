@@ -260,7 +260,7 @@ def incremental_embed(spark, sf_dir):
     middle = feed.agg(F.max("doc_id")).first()[0] // 2
     table = fresh(spark, "embedded")
     for run, part in (("run-1", feed.where(F.col("doc_id") <= middle)), ("run-2", feed)):
-        strategies.incremental_embed(table, part, "doc_id", "text", "doc_id", key=run)
+        strategies.incremental_embed(table, part, ["doc_id"], "text", "doc_id", key=run)
     nonzero = F.filter(
         F.transform("embedding", lambda v, b: F.struct(b.alias("bucket"), v.alias("value"))), lambda e: e["value"] != 0
     )

@@ -30,7 +30,7 @@ GOLDEN_TEXTS = {
 def test_embedding_golden(spark):
     texts = list(GOLDEN_TEXTS)
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    for row in search.embed(frame, "id", "text").collect():
+    for row in search.embed(frame, "text").collect():
         wanted = GOLDEN_TEXTS[texts[row.id]]
         assert len(row.embedding) == 256
         for bucket, value in enumerate(row.embedding):
@@ -44,12 +44,16 @@ def test_search_is_brute_force_in_pieces(spark, monkeypatch):
     asked = [(n, " ".join(pick.choices(words, k=3))) for n in range(9)]
     c = spark.createDataFrame(corpus, "doc int, text string").repartition(5)
     q = spark.createDataFrame(asked, "query int, words string")
-    vec = {r.doc: r for r in search.sparse_vectors(c, "doc", "text").collect()}
-    qec = {r.query: r for r in search.sparse_vectors(q, "query", "words").collect()}
+    vec, qec = {}, {}
+    for held, frame, name, text in ((vec, c, "doc", "text"), (qec, q, "query", "words")):
+        held.update({r[name]: {} for r in frame.collect()})
+        for r in search.bucket_weights(frame, name, text).collect():
+            held[r[name]][r.bucket] = r.weight
 
     def score(a, b):
-        dot = sum(x * dict(zip(b.buckets, b.weights)).get(k, 0) for k, x in zip(a.buckets, a.weights))
-        return dot / (a.square * b.square) ** 0.5 if a.square and b.square else 0.0
+        dot = sum(x * b.get(k, 0) for k, x in a.items())
+        size = sum(x * x for x in a.values()) * sum(x * x for x in b.values())
+        return dot / size**0.5 if size else 0.0
 
     wanted = []
     for n, a in qec.items():

@@ -176,7 +176,7 @@ def test_incremental_embed(spark, folder):
     docs = [(n, f"text number {n}", n) for n in range(15)]
     frame = lambda some: spark.createDataFrame(some, "doc_id int, text string, at int")
     table = VersionedTable(spark, folder)
-    load = lambda some, key: strategies.incremental_embed(table, frame(some), "doc_id", "text", "at", key)
+    load = lambda some, key: strategies.incremental_embed(table, frame(some), ["doc_id"], "text", "at", key)
     assert load(docs[:12], "r1").rows_affected == 12
     assert load(docs, "r2").rows_affected == 3
     assert load(docs, "r2").already_applied

@@ -6,6 +6,7 @@ import pytest
 
 from strata import FailedPrecondition, InvalidArgument, NotFound, VersionedTable
 from strata.plans.publish import write_audit_publish
+from strata.sources.commits import _HadoopFiles
 from strata.plans.quality import Check, assertion, not_null, unique
 from tests.conftest import as_set
 
@@ -207,3 +208,21 @@ def test_expire_removes_only_unlisted_data(spark, folder):
     assert len(table.unused_folders(3)) == 0
     assert len(table.expire(1)) == 1
     assert table.read().count() == 3 and table.read(version=1).count() == 2
+
+
+def test_abandoned_writes_are_found(spark, folder):
+    table = VersionedTable(spark, folder)
+    table.append(rows(spark, FIRST))
+    left = table.stage(rows(spark, UPSERT)).folders
+    assert table.abandoned_folders(older_than_s=3600) == []
+    assert table.abandoned_folders(older_than_s=-5) == list(left)
+    table.remove(left)
+    assert table.abandoned_folders(older_than_s=-5) == [] and table.read().count() == 2
+
+
+def test_commit_files_through_the_hadoop_client(spark, folder):
+    files = _HadoopFiles(spark, f"{folder}/commits")
+    assert files.names() == []
+    assert files.create("1.json", '{"a": "é"}') and not files.create("1.json", "{}")
+    assert files.read("1.json") == '{"a": "é"}'
+    assert [n for n in files.names() if not n.startswith(".")] == ["1.json"]
