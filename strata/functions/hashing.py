@@ -25,20 +25,18 @@ def tokens(text: Column) -> Column:
 
 
 def token_codes(text: Column) -> Column:
-    """Bytes 3 and 4 of each token's SHA-256, as one number per token."""
-    return F.transform(
-        tokens(text), lambda token: F.conv(F.substring(F.sha2(token, 256), 7, 4), 16, 10).cast("int")
-    )
-
-
-def bucket_sums(codes: Sequence) -> np.ndarray:
-    """Signed token counts, one row of 256 per text. The upper byte of a code is
-    the bucket; its lowest bit gives the sign, 1 for plus."""
-    sizes = [len(some) for some in codes]
-    flat = np.concatenate([np.asarray(some, dtype="int64") for some in codes]) if sizes else np.zeros(0, "int64")
-    cell = np.repeat(np.arange(len(sizes)) * HASH_DIM, sizes) + (flat >> 8)
-    sums = np.bincount(cell, weights=(flat & 1) * 2 - 1, minlength=len(sizes) * HASH_DIM)
-    return sums.reshape(len(sizes), HASH_DIM)
+    """Bytes 3 and 4 of each token's SHA-256, all in one hex string."""
+    return F.array_join(F.transform(tokens(text), lambda token: F.substring(F.sha2(token, 256), 7, 4)), "")
+
+
+def bucket_sums(codes: Sequence[str]) -> np.ndarray:
+    """Signed token counts, one row of 256 per text. The first byte of a code is
+    the bucket; the lowest bit of the second gives the sign, 1 for plus."""
+    pairs = [np.frombuffer(bytes.fromhex(some), dtype="uint8").reshape(-1, 2) for some in codes]
+    flat = np.concatenate([*pairs, np.zeros((0, 2), "uint8")]).astype("int64")
+    cell = np.repeat(np.arange(len(pairs)) * HASH_DIM, [len(some) for some in pairs]) + flat[:, 0]
+    sums = np.bincount(cell, weights=(flat[:, 1] & 1) * 2 - 1, minlength=len(pairs) * HASH_DIM)
+    return sums.reshape(len(pairs), HASH_DIM)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -97,15 +97,8 @@ def scd2(
         return done
     body = [*natural_key, *tracked]
     staging = VersionedTable(target.spark, workspace(target.spark, "scd2"))
-    arrived = staging.stage(
-        source.groupBy(*natural_key)
-        .agg(F.first(F.struct(*body)).alias("row"), F.count(F.lit(1)).alias("_strata_copies"))
-        .select("row.*", "_strata_copies"),
-        expected_rows,
-        {"delivered": F.sum("_strata_copies"), "most": F.max("_strata_copies")},
-    )
-    if (arrived.measures.get("most") or 0) > 1:
-        raise InvalidArgument("scd2 needs one source row per natural key")
+    arrived = staging.stage(source.select(*body), expected_rows)
+    staging.refuse_copies(arrived, natural_key)
     target.register(history.history_schema(source.select(*body).schema))
     incoming = staging.load(arrived.folders, arrived.schema)
     delta = history.history_delta(target.read(predicate=IS_CURRENT), incoming, natural_key, tracked, effective_from)

@@ -5,7 +5,9 @@
 
 A commit lists the folders that make up the table at that version, so reading an
 old version is reading an older commit. Data is staged first and becomes visible
-only when its commit file appears; a folder no commit lists is garbage.
+only when its commit file appears; a folder no commit lists is garbage. A table
+fed by many small appends should be compacted with ``maintain`` now and then,
+since every commit lists all folders.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from strata.sources.commits import CommitLog
 from strata.sources.landing import scan
 
 DEFAULT_FILE_BYTES = 256 * 1024 * 1024
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the folder of null
 
 
 @dataclass(frozen=True)
@@ -100,21 +103,18 @@ class VersionedTable:
         frame = self.load(commit["folders"], T.StructType.fromJson(commit["schema"]))
         return scan(frame, columns, predicate)
 
-    def load(self, folders, schema: T.StructType, with_folder: bool = False) -> DataFrame:
+    def load(self, folders, schema: T.StructType) -> DataFrame:
+        """The rows of some write folders."""
         if not folders:
-            frame = self.spark.createDataFrame([], schema)
-            return frame.withColumn("_folder", F.lit("")) if with_folder else frame
-        frame = (
+            return self.spark.createDataFrame([], schema)
+        return self._files(folders, schema).select(*[F.col(f"`{name}`") for name in schema.names])
+
+    def _files(self, folders, schema: T.StructType) -> DataFrame:
+        return (
             self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_write", T.StringType())]))
             .option("basePath", self.data)
             .parquet(*[f"{self.data}/{folder}" for folder in folders])
         )
-        names = [F.col(f"`{name}`") for name in schema.names]
-        if with_folder:
-            # .../data/<folder>/part-....parquet, with the folder as commits list it
-            inside = F.regexp_extract("_metadata.file_path", r"/data/(_write=[0-9a-f]{32}.*)/[^/]+$", 1)
-            return frame.select(*names, F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B"))).alias("_folder"))
-        return frame.select(*names)
 
     # -- staging and committing --------------------------------------------
 
@@ -281,14 +281,14 @@ class VersionedTable:
         if wanted is not None:
             extra = [name for name in ordering if name not in wanted.names]
             rows = conform(rows, wanted, extra)
-        columns = wanted.names if wanted is not None else rows.columns
-        latest = last_per_key(rows, keys, columns, ordering)
-        staged = self.stage(
-            latest, expected_rows, {"delivered": F.sum("_strata_copies"), "most": F.max("_strata_copies")}
-        )
-        if not ordering and (staged.measures.get("most") or 0) > 1:
-            raise InvalidArgument("several source rows share a merge key: name an order_by column")
-        delivered = staged.measures.get("delivered") or 0
+        if ordering:
+            latest = last_per_key(rows, keys, wanted.names if wanted is not None else rows.columns, ordering)
+            staged = self.stage(latest, expected_rows, {"delivered": F.sum("_strata_copies")})
+            delivered = staged.measures.get("delivered") or 0
+        else:
+            staged = self.stage(rows, expected_rows)
+            self.refuse_copies(staged, keys)
+            delivered = staged.rows
         if skip_empty and not delivered:
             return WriteResult(0, head["snapshot_id"] if head else "", version)
         folders = self._replacing(head, staged, keys)
@@ -309,6 +309,12 @@ class VersionedTable:
         folders = self._replacing(head, staged, keys, repeated=True)
         return self.commit(folders, staged.schema, "delete_insert", staged.rows, version, key)
 
+    def refuse_copies(self, staged: Staged, keys: Sequence[str]) -> None:
+        """Several staged rows with one key are an error; only keys are read."""
+        copies = self.load(staged.folders, staged.schema).groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+        if not copies.where("copies > 1").isEmpty():
+            raise InvalidArgument(f"several source rows share the key {list(keys)}: make it unique or name an order_by")
+
     @staticmethod
     def _need_keys(keys):
         if not keys:
@@ -322,24 +328,33 @@ class VersionedTable:
         schema = T.StructType.fromJson(head["schema"])
         incoming = self.load(staged.folders, schema).select(*keys)
         incoming = (incoming.distinct() if repeated else incoming).alias("incoming")
-        located = self.load(head["folders"], schema, with_folder=True).select(*keys, "_folder").alias("present")
-        touched = {
-            row._folder
-            for row in located.join(incoming, match_condition("present", "incoming", keys), "left_semi")
-            .select("_folder")
-            .distinct()
-            .collect()
-        }
+        same_key = match_condition("present", "incoming", keys)
+        touched = self._folders_holding(head["folders"], schema, keys, incoming, same_key)
+        if not touched:
+            return [*head["folders"], *staged.folders]
+        present = self.load(sorted(touched), schema).alias("present")
+        left = self.stage(present.join(incoming, same_key, "left_anti").select("present.*"))
         kept = [folder for folder in head["folders"] if folder not in touched]
-        if len(kept) + len(touched) != len(head["folders"]):
-            raise FailedPrecondition("a folder on disk is not in the commit it was read from")
-        remainder = ()
-        if touched:
-            present = self.load(sorted(touched), schema).alias("present")
-            rest = present.join(incoming, match_condition("present", "incoming", keys), "left_anti")
-            left = self.stage(rest.select("present.*"))
-            remainder = left.folders if left.rows else ()
-        return [*kept, *remainder, *staged.folders]
+        return [*kept, *(left.folders if left.rows else ()), *staged.folders]
+
+    def _folders_holding(self, folders, schema, keys, incoming: DataFrame, same_key) -> set[str]:
+        """Which folders have a row whose key comes in. Beside its key a row
+        carries one number, made from the write and partition it belongs to."""
+        partition_by = self.partition_by
+        place = F.xxhash64("_write", *[F.col(f"`{c}`").cast("string") for c in partition_by])
+        present = self._files(folders, schema).select(*keys, place.alias("_place")).alias("present")
+        hit = present.join(incoming, same_key, "left_semi").select("_place").distinct()
+        levels = F.split("folder", "/")
+        value = [F.substring_index(levels[level], "=", -1) for level in range(1 + len(partition_by))]
+        value[1:] = [
+            F.when(v != NULL_PARTITION, F.url_decode(F.replace(v, F.lit("+"), F.lit("%2B")))) for v in value[1:]
+        ]
+        listed = self.spark.createDataFrame([(folder,) for folder in folders], "folder string")
+        places = listed.select("folder", F.xxhash64(*value).alias("_place"))
+        found = hit.join(places, "_place", "left").collect()
+        if any(row.folder is None for row in found):
+            raise FailedPrecondition("a row lies in a folder that its commit does not list")
+        return {row.folder for row in found}
 
     # -- upkeep ------------------------------------------------------------
 

@@ -361,7 +361,7 @@ def create_if_absent(spark, sf_dir):
     """WITH RECURSIVE
     state AS (SELECT 'user/' || c_custkey AS key, 1 AS revision FROM customer WHERE c_acctbal >= 0),
     w AS (SELECT 'user/' || user_id AS key, event_id + 2 AS seq,
-            CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN coalesce(lag(event_id + 2, 2) OVER u, 1)
+            CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN greatest(coalesce(lag(event_id + 2) OVER u, 1) - 1, 1)
               ELSE coalesce(lag(event_id + 2) OVER u, 1) END AS if_revision, row_number() OVER u AS n
           FROM events WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
     walk AS (
@@ -375,8 +375,8 @@ def create_if_absent(spark, sf_dir):
     SELECT seq, key, committed, CAST(revision AS BIGINT) AS revision FROM walk""",
 )
 def cas_batch(spark, sf_dir):
-    """Signups write unconditionally, errors expect a revision that is two writes
-    old, everything else the one just before."""
+    """Signups write unconditionally, errors expect a revision too low by one,
+    everything else the one just before."""
     stored = load(spark, sf_dir, "customer").where("c_acctbal >= 0")
     state = stored.select(
         F.concat(F.lit("user/"), F.col("c_custkey").cast("string")).alias("key"), F.lit(1).cast("bigint").alias("revision")
@@ -384,14 +384,14 @@ def cas_batch(spark, sf_dir):
     keyed = load(spark, sf_dir, "events").select(
         F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("key"), (F.col("event_id") + 2).alias("seq"), "event_type"
     )
-    once = ordered.previous(keyed, ["key"], "seq", {"one_back": F.col("seq")})
-    twice = ordered.previous(once, ["key"], "seq", {"two_back": F.col("one_back")})
+    paired = ordered.previous(keyed, ["key"], "seq", {"one_back": F.col("seq")})
+    one_back = F.coalesce("one_back", F.lit(1))
     expected = (
         F.when(F.col("event_type") == "signup", F.lit(0))
-        .when(F.col("event_type") == "error", F.coalesce("two_back", F.lit(1)))
-        .otherwise(F.coalesce("one_back", F.lit(1)))
+        .when(F.col("event_type") == "error", F.greatest(one_back - 1, F.lit(1)))
+        .otherwise(one_back)
     )
-    writes = twice.select("seq", "key", expected.cast("bigint").alias("if_revision"))
+    writes = paired.select("seq", "key", expected.cast("bigint").alias("if_revision"))
     return changelog.compare_and_set(writes, state)
 
 
