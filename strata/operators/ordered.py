@@ -2,8 +2,11 @@
 
 A log row has a whole sequence number that no other row of its key shares, so
 ``floor(number / block_rows)`` cuts every key, however hot, into blocks of at
-most ``block_rows`` rows. Windows run inside blocks; what crosses a block
-boundary is one summary row per block, carried along in a second, small window.
+most ``block_rows`` rows. Windows run inside blocks. What a block has to know of
+the ones before it is a single summary row, which is put in front of its rows;
+summaries come from an aggregate that shrinks the data before any shuffle, and a
+key has one of them per block. Where numbers have gaps (time stamps, say), raise
+``block_rows`` in proportion, or blocks hold so few rows that summaries pile up.
 """
 
 from __future__ import annotations
@@ -14,18 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1_000_000
+_AGGREGATES = {"sum": F.sum, "max": F.max}
 
 
 def _blocked(rows: DataFrame, order: str, block_rows: int) -> DataFrame:
-    return rows.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    return rows.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows))).withColumn("_real", F.lit(True))
 
 
-def _with_carry(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    left, right = rows.alias("_row"), carried.alias("_carried")
-    on = F.col("_row._block") == F.col("_carried._block")
-    for key in keys:
-        on = on & F.col(f"_row.`{key}`").eqNullSafe(F.col(f"_carried.`{key}`"))
-    return left.join(right, on, "left").select("_row.*", "_carried._carry")
+def _inside(keys: Sequence[str], order: str):
+    """A block's rows in order, its summary row (whose number is null) first."""
+    return Window.partitionBy(*keys, "_block").orderBy(F.col(order).asc_nulls_first())
 
 
 def previous(
@@ -33,15 +34,16 @@ def previous(
 ) -> DataFrame:
     """Add ``values`` as seen on the row just before in ``order`` of the same key;
     null on a key's first row."""
-    blocked = _blocked(rows.withColumn("_seen", F.struct(*[c.alias(n) for n, c in values.items()])), order, block_rows)
+    seen = F.struct(*[column.alias(name) for name, column in values.items()])
+    blocked = _blocked(rows.withColumn("_seen", seen), order, block_rows)
     last = blocked.groupBy(*keys, "_block").agg(F.max_by("_seen", order).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_block")
-    carried = last.select(*keys, "_block", F.lag("_last").over(across).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order)
-    stepped = blocked.withColumn("_before", F.lag("_seen").over(inside))
-    joined = _with_carry(stepped, carried, keys)
-    found = F.coalesce("_before", "_carry")
-    return joined.select(*rows.columns, *[found[name].alias(name) for name in values])
+    summaries = last.select(*keys, "_block", F.lag("_last").over(across).alias("_seen")).where(F.col("_seen").isNotNull())
+    stepped = blocked.unionByName(summaries, allowMissingColumns=True).withColumn(
+        "_before", F.lag("_seen").over(_inside(keys, order))
+    )
+    found = stepped.where("_real")
+    return found.select(*rows.columns, *[F.col("_before")[name].alias(name) for name in values])
 
 
 def running(
@@ -54,34 +56,16 @@ def running(
 ) -> DataFrame:
     """Add running "sum" or "max" measures per key, up to and including each row,
     or with ``before_only`` over the rows strictly before it."""
-    staged = rows.select("*", *[column.alias(f"_in_{name}") for name, (_, column) in measures.items()])
-    blocked = _blocked(staged, order, block_rows)
-    aggregates = {"sum": F.sum, "max": F.max}
-    totals = blocked.groupBy(*keys, "_block").agg(
-        *[aggregates[kind](f"_in_{name}").alias(name) for name, (kind, _) in measures.items()]
-    )
+    inputs = {f"_in_{name}": (_AGGREGATES[kind], column) for name, (kind, column) in measures.items()}
+    blocked = _blocked(rows.select("*", *[c.alias(n) for n, (_, c) in inputs.items()]), order, block_rows)
+    totals = blocked.groupBy(*keys, "_block").agg(*[total(n).alias(n) for n, (total, _) in inputs.items()])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        "_block",
-        F.struct(*[aggregates[kind](name).over(earlier).alias(name) for name, (kind, _) in measures.items()]).alias("_carry"),
-    )
-    end = -1 if before_only else Window.currentRow
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    local = blocked.select(
-        *rows.columns,
-        "_block",
-        *[aggregates[kind](f"_in_{name}").over(inside).alias(f"_in_{name}") for name, (kind, _) in measures.items()],
+    summaries = totals.select(*keys, "_block", *[total(n).over(earlier).alias(n) for n, (total, _) in inputs.items()])
+    frame = _inside(keys, order).rowsBetween(Window.unboundedPreceding, -1 if before_only else Window.currentRow)
+    summed = blocked.unionByName(summaries, allowMissingColumns=True).select(
+        *rows.columns, "_real", *[total(n).over(frame).alias(n[4:]) for n, (total, _) in inputs.items()]
     )
-    joined = _with_carry(local, carried, keys)
-
-    def combined(name, kind):
-        here, carry = F.col(f"_in_{name}"), F.col("_carry")[name]
-        if kind == "max":
-            return F.greatest(here, carry)
-        return F.coalesce(here + carry, here, carry)
-
-    return joined.select(*rows.columns, *[combined(n, kind).alias(n) for n, (kind, _) in measures.items()])
+    return summed.where("_real").drop("_real")
 
 
 def positions(rows: DataFrame, keys: Sequence[str], order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
