@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.labels import selector_pairs
+from strata.operators.skew import salted_join
 
 SELECTED, NO_MATCH, AMBIGUOUS = "SELECTED", "NO_MATCH", "AMBIGUOUS"
 
@@ -37,14 +38,15 @@ def select_provider(requests: DataFrame, providers: DataFrame) -> DataFrame:
     A request is served when exactly one provider of its capability carries every
     label it asks for. Providers are counted per label values, once for each set of
     label names that selectors of their capability use, and requests look their
-    count up: no request is ever paired with each provider.
+    count up: no request is ever paired with each provider. A capability that a
+    third of all providers offer is spread over many tasks.
     """
     asked = requests.withColumn("pairs", selector_pairs(F.col("selector")))
     asked = asked.withColumn("names", F.transform("pairs", lambda p: p["name"])).withColumn(
         "values", F.transform("pairs", lambda p: p["value"])
     )
     name_sets = asked.select("capability", "names").distinct()
-    offered = providers.join(name_sets, "capability").select(
+    offered = salted_join(providers, name_sets, ["capability"], by=["provider"]).select(
         "capability",
         "provider",
         "names",

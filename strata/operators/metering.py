@@ -47,9 +47,9 @@ def outcome_counts(calls: DataFrame) -> DataFrame:
     return calls.groupBy("capability", "outcome").agg(F.count(F.lit(1)).alias("calls"))
 
 
-def latency_summary(samples: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10_000) -> DataFrame:
+def latency_summary(samples: DataFrame, keys: Sequence[str], value: str, **options) -> DataFrame:
     """n, mean, p50 and p99, the last two at sorted positions n div 2 and n*99 div 100."""
-    return exact_positions(samples, keys, value, {"p50": (1, 2), "p99": (99, 100)}, accuracy)
+    return exact_positions(samples, keys, value, {"p50": (1, 2), "p99": (99, 100)}, **options)
 
 
 def split_points(points: DataFrame) -> DataFrame:

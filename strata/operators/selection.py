@@ -8,13 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.matching import match_condition
+from strata.operators.skew import salt
+from strata.session import workspace
+
+# Up to this k Spark limits a ranked group before the shuffle by itself.
+GROUP_LIMIT = 1000
+# Exact order statistics: most rows ranked in one task, and how finely a range is cut.
+RANKED_ROWS = 1_000_000
+CUTS = 10_000
 
 
 def top_per_group(rows: DataFrame, keys: Sequence[str], ordering: Sequence[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of every group, with their ``rank``. Spark applies the
-    limit before the shuffle too, so a hot group sends k rows per task."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering)))
-    return ranked.where(F.col("rank") <= k)
+    """The first ``k`` rows of every group, with their ``rank``.
+
+    Spark applies a small limit before the shuffle too, so a hot group sends k
+    rows per task. Beyond that, groups are cut into slices whose first k rows
+    compete for the group's.
+    """
+    ranked = rows
+    if k > GROUP_LIMIT:
+        sliced = rows.withColumn("_slice", salt(rows.columns))
+        window = Window.partitionBy(*keys, "_slice").orderBy(*ordering)
+        ranked = sliced.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+        ranked = ranked.select(*rows.columns)
+    window = Window.partitionBy(*keys).orderBy(*ordering)
+    return ranked.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 def exact_positions(
@@ -22,75 +40,83 @@ def exact_positions(
     keys: Sequence[str],
     value: str,
     wanted: Mapping[str, tuple[int, int]],
-    accuracy: int = 10_000,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Per group: row count, mean and, for each ``name: (a, b)``, the value at
     0-based position ``n * a div b`` of the sorted values.
 
-    Two passes and no full sort. Approximate percentiles, whose rank error is at
-    most n / accuracy, bracket each position; the second pass counts the rows
-    below the bracket and ranks only the distinct values inside it. Raise
-    ``accuracy`` with the data: a bracket holds about 6 n / accuracy rows.
+    No group is sorted as a whole. The range a position lies in starts as the
+    group's (min, max) and is cut into equal parts, of which counting finds the
+    right one, until it holds at most ``ranked_rows`` rows or a single value.
+    Only those rows are ranked. A pass is an aggregation; what is known of the
+    ranges is a small table, kept between passes.
     """
-    names = list(wanted)
-    margin = 3.0 / accuracy
-    marks = []
-    for a, b in wanted.values():
-        marks += [max(0.0, a / b - margin), min(1.0, a / b + margin)]
-    present = rows.where(F.col(value).isNotNull())
+    spark = rows.sparkSession
+    folder = workspace(spark, "positions")
+    present = rows.select(*keys, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
     groups = present.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
-        F.percentile_approx(value, marks, accuracy).alias("_marks"),
-    )
-    brackets = groups.select(
-        *keys,
-        "n",
-        "mean",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("name"),
-                    F.col("_marks")[2 * i].alias("low"),
-                    F.col("_marks")[2 * i + 1].alias("high"),
-                    F.floor(F.col("n") * a / b).alias("target"),
-                )
-                for i, (name, (a, b)) in enumerate(wanted.items())
-            ]
-        ).alias("_brackets"),
+        F.count(F.lit(1)).alias("n"), F.avg("_value").alias("mean"), F.min("_value").alias("low"), F.max("_value").alias("high")
     )
-    reading = F.col(f"_row.`{value}`")
-    near = (
-        present.alias("_row")
-        .join(brackets.alias("_b"), match_condition("_row", "_b", keys))
-        .select(
-            *[F.col(f"_row.`{key}`") for key in keys],
-            "_b.n",
-            "_b.mean",
-            reading.alias("_value"),
-            F.explode(F.filter("_b._brackets", lambda b: reading <= b["high"])).alias("_at"),
-        )
+    targets = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.expr(f"n * {a} div {b}").alias("target")) for name, (a, b) in wanted.items()]
     )
-    counted = near.groupBy(
-        *keys,
-        F.col("_at.name").alias("_name"),
-        F.when(F.col("_value") >= F.col("_at.low"), F.col("_value")).alias("_value"),
-    ).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.max("_at.target").alias("_target"),
-        F.max("n").alias("n"),
-        F.max("mean").alias("mean"),
+    ranges = groups.select(*keys, "n", "mean", "low", "high", F.col("n").alias("inside"), F.explode(targets).alias("at"))
+    ranges = ranges.select(*keys, "n", "mean", "low", "high", "inside", "at.*")
+    passes = 0
+    while True:
+        ranges.write.parquet(f"{folder}/{passes}")
+        ranges = spark.read.parquet(f"{folder}/{passes}")
+        if ranges.where((F.col("inside") > ranked_rows) & (F.col("low") < F.col("high"))).isEmpty():
+            break
+        ranges = _narrowed(present, ranges, keys)
+        passes += 1
+
+    # what lies below a range is counted as one row of value null
+    near = _near(present, ranges, keys)
+    counted = near.groupBy(*keys, "name", F.when(F.col("_value") >= F.col("low"), F.col("_value")).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in ("target", "n", "mean")]
     )
-    climb = Window.partitionBy(*keys, "_name").orderBy(F.col("_value").asc_nulls_first())
-    climbed = counted.withColumn("_upto", F.sum("_rows").over(climb))
-    hit = F.col("_upto") > F.col("_target")
-    missed = F.raise_error(F.lit("a position fell outside its bracket: raise accuracy")).cast("double")
-    picked = climbed.groupBy(*keys).agg(
+    climb = Window.partitionBy(*keys, "name").orderBy(F.col("_value").asc_nulls_first())
+    climbed = counted.withColumn("_upto", F.sum("_rows").over(climb)).where(F.col("_upto") > F.col("target"))
+    return climbed.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.max("mean").alias("mean"),
         *[
-            F.min(F.when(hit & (F.col("_name") == name), F.struct("_upto", "_value")))["_value"].alias(name)
-            for name in names
+            F.min(F.when(F.col("name") == name, F.struct("_upto", "_value")))["_value"].alias(name)
+            for name in wanted
         ],
     )
-    return picked.select(*keys, "n", "mean", *[F.coalesce(F.col(name), missed).alias(name) for name in names])
+
+
+def _near(present: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows up to the upper end of each range of their group."""
+    reaches = match_condition("_row", "_range", keys) & (F.col("_row._value") <= F.col("_range.high"))
+    joined = present.alias("_row").join(ranges.alias("_range"), reaches)
+    others = [c for c in ranges.columns if c not in keys]
+    return joined.select("_row.*", *[F.col(f"_range.{c}") for c in others])
+
+
+def _narrowed(present: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each range cut down to the part that holds its target."""
+    width = (F.col("high") - F.col("low")).cast("double")
+    part = F.floor((F.col("_value") - F.col("low")).cast("double") / width * CUTS)
+    cut = (
+        F.when(F.col("_value") < F.col("low"), F.lit(-1))
+        .when(width > 0, F.least(part, F.lit(CUTS - 1)))
+        .otherwise(F.lit(0))
+    )
+    parts = (
+        _near(present, ranges, keys)
+        .groupBy(*keys, "name", cut.alias("_part"))
+        .agg(
+            F.count(F.lit(1)).alias("inside"),
+            F.min("_value").alias("low"),
+            F.max("_value").alias("high"),
+            *[F.max(c).alias(c) for c in ("target", "n", "mean")],
+        )
+    )
+    climb = Window.partitionBy(*keys, "name").orderBy("_part")
+    holding = parts.withColumn("_upto", F.sum("inside").over(climb)).where(
+        (F.col("_upto") > F.col("target")) & (F.col("_upto") - F.col("inside") <= F.col("target"))
+    )
+    return holding.select(*ranges.columns)

@@ -255,15 +255,13 @@ def share_review(spark, sf_dir):
         .join(buyers.select("c_custkey", F.col("n_name").alias("counterparty")), F.col("o_custkey") == F.col("c_custkey"))
     )
     allow = shipped.where("l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'R'").select("tenant", "counterparty")
-    requests = shipped.select(
-        "tenant",
-        "counterparty",
-        F.lit(policy.SHARING).alias("kind"),
-        F.col("l_shipdate").alias("at"),
-        F.col("l_orderkey").alias("request_id"),
+    # a decision depends on the pair alone, so pairs are counted before they are judged
+    pairs = shipped.groupBy("tenant", "counterparty").agg(F.count(F.lit(1)).alias("requests"))
+    requests = pairs.withColumns(
+        {"kind": F.lit(policy.SHARING), "at": F.lit(0), "request_id": F.concat_ws("/", "tenant", "counterparty")}
     )
     judged = policy.decide(requests, allow, quota_limit=1)
-    return judged.groupBy("tenant", "counterparty", "allowed", "deny_code").agg(F.count(F.lit(1)).alias("requests"))
+    return judged.select("tenant", "counterparty", "allowed", "deny_code", "requests")
 
 
 # -- audit chains ------------------------------------------------------------------

@@ -92,19 +92,22 @@ def test_ordered_log_in_blocks(spark, block):
     assert {r.seq: tuple(r)[1:] for r in found.collect()} == wanted
 
 
-def test_exact_positions(spark):
+def test_exact_positions(spark, monkeypatch):
     pick = random.Random(1)
-    data = [("a", pick.gauss(0, 1)) for _ in range(5000)] + [("b", float(n % 3)) for n in range(100)] + [("c", 5.0)]
+    data = [("a", pick.expovariate(1) ** 4) for _ in range(5000)] + [("b", float(n % 3)) for n in range(100)] + [("c", 5.0)]
     frame = spark.createDataFrame(data, "k string, v double").repartition(7)
-    for accuracy in (20, 10_000):
-        found = {r.k: r for r in metering.latency_summary(frame, ["k"], "v", accuracy).collect()}
+    for ranked_rows, cuts in ((1_000_000, 10_000), (20, 5)):
+        monkeypatch.setattr(selection, "CUTS", cuts)
+        found = {r.k: r for r in metering.latency_summary(frame, ["k"], "v", ranked_rows=ranked_rows).collect()}
         for k in "abc":
             values = sorted(v for kk, v in data if kk == k)
             n = len(values)
             assert (found[k].n, found[k].p50, found[k].p99) == (n, values[n // 2], values[n * 99 // 100])
 
 
-def test_top_per_group(spark):
+@pytest.mark.parametrize("group_limit", [1000, 1])
+def test_top_per_group(spark, monkeypatch, group_limit):
+    monkeypatch.setattr(selection, "GROUP_LIMIT", group_limit)
     frame = spark.createDataFrame([("a", n) for n in range(20)] + [("b", 1)], "k string, v int")
     assert as_set(selection.top_per_group(frame, ["k"], [F.desc("v")], 2)) == [("a", 18, 2), ("a", 19, 1), ("b", 1, 1)]
 
