@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strata.operators.ordered import BLOCK_ROWS, running
+from strata.operators.ordered import BLOCK_ROWS, positions, running
 from strata.session import workspace
 
 
@@ -32,6 +32,13 @@ def since(log: DataFrame, from_revision: int, prefix: str = "") -> DataFrame:
     return log.where(wanted).orderBy("revision")
 
 
+def number_changes(changes: DataFrame, order: str, after: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Give the changes revisions after + 1, after + 2, ... in ``order``, a whole
+    number unique over the log. Blocks are numbered apart and then shifted."""
+    numbered = positions(changes, [], order, block_rows)
+    return numbered.withColumn("revision", F.col("position") + after).drop("position")
+
+
 def create_if_absent(requests: DataFrame, state: DataFrame) -> DataFrame:
     """Judge creates of (seq, key, value): the first request for a key that
     ``state`` (key, revision) lacks wins and its seq becomes the revision."""

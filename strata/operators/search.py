@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.errors import InvalidArgument
@@ -12,23 +12,35 @@ from strata.functions.hashing import HASH_DIM, text_embedding, text_weights, tok
 from strata.operators.selection import top_per_group
 from strata.session import workspace
 
-# One chunk of queries is a matrix of at most this many rows x 256 numbers.
+# Queries travel in chunks of about this many rows x 256 numbers, twice that at
+# most: ids are spread by hash, so only repeated ids could make a chunk larger.
 QUERY_CHUNK = 2048
 CORPUS_STEP = 1024
 
 
 def bucket_weights(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, bucket, weight): signed token counts, buckets that cancel out left out."""
+    # "outer" because otherwise Spark first filters by the array's size, which
+    # would work every text twice; the arrays are never empty
     dense = rows.select(id_column, text_weights(token_codes(F.col(text_column))).alias("weights"))
-    return dense.select(id_column, F.posexplode("weights").alias("bucket", "weight")).where(F.col("weight") != 0)
+    return dense.select(id_column, F.posexplode_outer("weights").alias("bucket", "weight")).where(F.col("weight") != 0)
+
+
+def hash_256(text: Column) -> Column:
+    return text_embedding(token_codes(text))
+
+
+# Embedding models by name: functions from a text column to a vector column. A
+# pandas UDF over a model of one's own can be added.
+MODELS = {"hash-256": hash_256}
 
 
 def embed(rows: DataFrame, text_column: str, model: str = "hash-256", into: str = "embedding") -> DataFrame:
-    """Add the text's vector: 256 floats of length 1, all zero for an empty text.
-    Each row is embedded where it is; nothing is shuffled."""
-    if model != "hash-256":
-        raise InvalidArgument(f"unknown model {model}")
-    return rows.withColumn(into, text_embedding(token_codes(F.col(text_column))))
+    """Add the text's vector; hash-256 gives 256 floats of length 1, all zero for
+    an empty text. Each row is embedded where it is; nothing is shuffled."""
+    if model not in MODELS:
+        raise InvalidArgument(f"unknown model {model}, there are {sorted(MODELS)}")
+    return rows.withColumn(into, MODELS[model](F.col(text_column)))
 
 
 def nearest_texts(
@@ -46,7 +58,8 @@ def nearest_texts(
     Every score is computed, but never stored: queries travel to the corpus as a
     matrix of bounded size, one chunk after another, each batch of the corpus is
     one matrix product, and a task passes on ``k`` rows per query. Dot products
-    are whole numbers, so scores do not depend on the order of adding up.
+    are whole numbers, so scores do not depend on the order of adding up. Query
+    ids are unique.
     """
     asked = _weighted(queries, query_id, query_text)
     vectors = _weighted(corpus, corpus_id, corpus_text)
@@ -77,7 +90,9 @@ def _kept(rows: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def _scorer(part: DataFrame, query_id: str, corpus_id: str, k: int):
-    rows = part.select(query_id, "weights").toPandas()
+    rows = part.select(query_id, "weights").limit(2 * QUERY_CHUNK + 1).toPandas()
+    if len(rows) > 2 * QUERY_CHUNK or rows[query_id].duplicated().any():
+        raise InvalidArgument(f"{query_id} is not unique")
     shared = part.sparkSession.sparkContext.broadcast((rows[query_id].to_numpy(), _matrix(rows)))
 
     def score(batches):

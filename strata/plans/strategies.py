@@ -15,7 +15,7 @@ from strata.errors import InvalidArgument
 from strata.operators import history, search
 from strata.operators.history import DELTA_ORDER, EFFECTIVE_FROM, IS_CURRENT
 from strata.session import query, workspace
-from strata.sources.versioned import VersionedTable, WriteResult
+from strata.sources.versioned import VersionedTable, WriteResult, last_per_key
 
 
 def full_refresh(target: VersionedTable, sql: str, sources: dict, run_id: str = "") -> WriteResult:
@@ -132,4 +132,5 @@ def incremental_embed(
     if target.exists():
         unembedded = target.read().where(F.col("embedding").isNull()).drop("embedding")
         fresh = fresh.unionByName(unembedded.join(fresh.select(*unique_key), list(unique_key), "left_anti"))
-    return target.merge(search.embed(fresh, text_column), unique_key, order_by=watermark, key=key)
+    latest = last_per_key(fresh, unique_key, fresh.columns, [watermark]).drop("_strata_copies")
+    return target.merge(search.embed(latest, text_column), unique_key, key=key)

@@ -480,9 +480,9 @@ def last_per_key(rows: DataFrame, keys, columns, ordering) -> DataFrame:
     """One row per key, the highest by ``ordering``, and how many there were.
 
     An aggregate and not a window, so copies of a hot key collapse before the
-    shuffle.
+    shuffle. ``ordering`` must tell a key's rows apart.
     """
     payload = F.struct(*[F.col(f"`{name}`") for name in columns])
-    chosen = F.max_by(payload, F.struct(*ordering)) if ordering else F.first(payload)
-    grouped = rows.groupBy(*keys).agg(chosen.alias("_strata_row"), F.count(F.lit(1)).alias("_strata_copies"))
+    latest = F.max_by(payload, F.struct(*ordering)).alias("_strata_row")
+    grouped = rows.groupBy(*keys).agg(latest, F.count(F.lit(1)).alias("_strata_copies"))
     return grouped.select("_strata_row.*", "_strata_copies")

@@ -335,6 +335,18 @@ def changelog_since(spark, sf_dir):
     return changelog.since(change_log(spark, sf_dir), 100, "signup/")
 
 
+@registered(
+    "changelog_number",
+    """SELECT event_id, event_type || '/' || user_id AS key, row_number() OVER (ORDER BY event_id) AS revision
+    FROM events WHERE event_type <> 'error'""",
+)
+def changelog_number(spark, sf_dir):
+    """A backfill: every accepted change gets the next revision of the whole log."""
+    accepted = load(spark, sf_dir, "events").where("event_type <> 'error'")
+    changes = accepted.select("event_id", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"))
+    return changelog.number_changes(changes, "event_id")
+
+
 @registered(
     "create_if_absent",
     """WITH k AS (SELECT event_id + 1 AS seq, event_type, 'user/' || user_id || '/' || json_extract_string(props, '$.k') AS key FROM events),

@@ -110,6 +110,16 @@ sql_query(
     "events",
 )
 
+APPROXIMATE = """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts,
+    abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.2 * count(DISTINCT l_partkey) AS near,
+    abs({median} - {exact}) <= 2 AS middle FROM lineitem GROUP BY l_returnflag"""
+sql_query(
+    "sql_approximate",
+    APPROXIMATE.format(median="percentile_approx(l_quantity, 0.5)", exact="percentile(l_quantity, 0.5)"),
+    "lineitem",
+    APPROXIMATE.format(median="approx_quantile(l_quantity, 0.5)", exact="quantile_cont(l_quantity, 0.5)"),
+)
+
 # -- windows: partitions bounded by the lines of one order ---------------------------------
 
 ORDER_LINES = "PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey"

@@ -9,7 +9,7 @@ from strata.functions.checks import valid_key, well_formed_trace
 from strata.functions.labels import label_text, selector_pairs
 from strata.operators import audit, changelog, discovery, history, metering, ordered, policy, schedule, search, selection
 from strata.operators.workunit import run_work
-from strata import VersionedTable
+from strata import InvalidArgument, VersionedTable
 from tests.conftest import as_set
 
 # Golden embedding vectors (bucket -> value) of the hash-256 model.
@@ -230,6 +230,21 @@ def test_changelog_golden(spark):
     assert changelog.since(log, 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_number_changes(spark, block):
+    changes = spark.createDataFrame([(n * n,) for n in range(20)], "seq bigint").repartition(5)
+    found = changelog.number_changes(changes, "seq", after=7, block_rows=block)
+    assert as_set(found) == [(n * n, 8 + n) for n in sorted(range(20), key=lambda n: repr((n * n, 8 + n)))]
+
+
+def test_unknown_model_and_repeated_queries(spark):
+    texts = spark.createDataFrame([(1, "a"), (1, "b")], "id int, text string")
+    with pytest.raises(InvalidArgument):
+        search.embed(texts, "text", "no-such-model")
+    with pytest.raises(InvalidArgument):
+        search.nearest_texts(texts, "id", "text", texts.withColumnRenamed("id", "doc"), "doc", "text", 1)
+
+
 def test_create_if_absent(spark):
     requests = spark.createDataFrame([(5, "a"), (6, "a"), (7, "b"), (9, "c")], "seq bigint, key string")
     state = spark.createDataFrame([("b", 2)], "key string, revision bigint")
