@@ -58,23 +58,28 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
     refused one reports the revision it met. Seqs are above every revision in
     ``state`` (key, revision).
 
-    A key passes through its writes one by one, but no task has to: revision r is
-    replaced by the first write that names r, provided no unconditional write
-    came in between. That makes each conditional write point back at one write
-    (or at the stored state), and a write commits if following the pointers ends
-    at a write that certainly committed. Pointers double every round, so the
-    longest run of n writes needs log2(n) joins on unique numbers.
+    A key passes through its writes one by one, but no task has to. Revision r is
+    replaced by the first write that names r, provided no unconditional write came
+    in between, so each conditional write depends on just one write (or on the
+    stored state). Where that is the write right before it, it shares that write's
+    fate; such runs are found with a running maximum. What remains are the heads
+    of runs that name an older write: they follow pointers that double every
+    round, so n of them in a row need log2(n) joins on unique numbers.
     """
     spark = writes.sparkSession
     folder = workspace(spark, "conditional")
     writes = writes.select("seq", "key", "if_revision")
     stored = state.select("key", F.col("revision").alias("stored"))
 
-    # the last unconditional write before each write of the key
+    def kept_in(name: str, frame: DataFrame) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    # the last unconditional write and the last write before each write of the key
     free = F.when(F.col("if_revision") == 0, F.col("seq"))
-    before = running(writes, ["key"], "seq", {"free_before": ("max", free)}, block_rows, before_only=True)
-    before.join(stored, "key", "left").write.parquet(f"{folder}/writes")
-    seen = spark.read.parquet(f"{folder}/writes")
+    looking_back = {"free_before": ("max", free), "before": ("max", F.col("seq"))}
+    behind = running(writes, ["key"], "seq", looking_back, block_rows, before_only=True)
+    seen = kept_in("writes", behind.join(stored, "key", "left"))
 
     # only the first write naming a revision can take it
     conditional = seen.where((F.col("if_revision") > 0) & (F.col("if_revision") < F.col("seq")))
@@ -85,27 +90,38 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
     claims = claims.where(F.col("free_before").isNull() | (F.col("free_before") <= F.col("if_revision")))
     from_state = F.col("free_before").isNull() & F.col("if_revision").eqNullSafe(F.col("stored"))
     from_free = F.col("if_revision").eqNullSafe(F.col("free_before"))
-    pointer = F.when(from_state | from_free, F.lit(0)).otherwise(F.col("if_revision")).cast("bigint")
-    step = claims.select("key", "seq", pointer.alias("pointer"))
+    claims = claims.select("key", "seq", F.when(from_state | from_free, 0).otherwise(F.col("if_revision")).alias("claim"))
+
+    # fate 0 commits, -1 does not, and any other number is the write it depends on
+    fate = F.when(F.col("if_revision") == 0, 0).otherwise(F.coalesce("claim", F.lit(-1))).cast("bigint")
+    fated = seen.join(claims, ["key", "seq"], "left").withColumn("fate", fate).drop("claim")
+    heading = F.when(~((F.col("fate") > 0) & F.col("fate").eqNullSafe(F.col("before"))), F.struct("seq", "fate"))
+    runs = running(fated, ["key"], "seq", {"run": ("max", heading)}, block_rows)
+    runs = kept_in(
+        "runs", runs.select("key", "seq", "if_revision", "stored", F.col("run.seq").alias("head"), F.col("run.fate").alias("fate"))
+    )
 
-    # round n holds the writes still open after round n - 1, moved on; pointer 0 is
-    # a write that commits, and a write whose pointer leads nowhere drops out
+    # round n holds the heads still open after round n - 1, moved on; pointer 0
+    # commits, and a head whose pointer leads to a write that did not drops out
+    heads = runs.where((F.col("seq") == F.col("head")) & (F.col("fate") > 0))
+    heads = heads.select("key", "seq", F.col("fate").alias("pointer"))
+    target = F.when(F.col("fate") == 0, 0).otherwise(F.col("head")).cast("bigint")
+    ahead = runs.where(F.col("fate") >= 0).select("key", F.col("seq").alias("pointer"), target.alias("next"))
     rounds: list[str] = []
     while True:
+        step = heads.join(ahead, ["key", "pointer"]).select("key", "seq", F.col("next").alias("pointer"))
         rounds.append(f"{folder}/round={len(rounds)}")
         moved = Observation()
         step.observe(moved, F.count_if(F.col("pointer") > 0).alias("open")).write.parquet(rounds[-1])
-        kept = spark.read.parquet(*rounds).where(F.col("pointer") == 0)
+        settled = spark.read.parquet(*rounds).where(F.col("pointer") == 0)
         if not moved.get.get("open"):
             break
-        opened = spark.read.parquet(rounds[-1]).where(F.col("pointer") > 0)
-        ahead = kept.unionByName(opened).select("key", F.col("seq").alias("pointer"), F.col("pointer").alias("next"))
-        step = opened.join(ahead, ["key", "pointer"]).select("key", "seq", F.col("next").alias("pointer"))
+        heads = spark.read.parquet(rounds[-1]).where(F.col("pointer") > 0)
+        ahead = settled.unionByName(heads).select("key", F.col("seq").alias("pointer"), F.col("pointer").alias("next"))
 
-    taken = kept.select("key", "seq", F.lit(True).alias("kept"))
-    judged = seen.join(taken, ["key", "seq"], "left").withColumn(
-        "committed", (F.col("if_revision") == 0) | F.coalesce("kept", F.lit(False))
-    )
+    taken = settled.select("key", F.col("seq").alias("head"), F.lit(True).alias("taken"))
+    committed = (F.col("fate") == 0) | F.coalesce("taken", F.lit(False))
+    judged = runs.join(taken, ["key", "head"], "left").withColumn("committed", committed)
     at = F.when(F.col("committed"), F.col("seq"))
     met = running(judged, ["key"], "seq", {"met": ("max", at)}, block_rows, before_only=True)
     revision = F.when(F.col("committed"), F.col("seq")).otherwise(F.coalesce("met", "stored", F.lit(0)))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.errors import FailedPrecondition
+from strata.errors import FailedPrecondition, InvalidArgument
 
 ERROR, WARN = "error", "warn"
 
@@ -72,6 +72,8 @@ def report(frame: DataFrame, checks: Sequence[Check]) -> DataFrame:
                 F.lit(check.name).alias("test"), F.lit(check.severity).alias("severity"), "violations"
             )
         )
+    if not parts:
+        raise InvalidArgument("a report needs at least one check")
     everything = parts[0]
     for part in parts[1:]:
         everything = everything.unionByName(part)

@@ -253,7 +253,7 @@ def test_create_if_absent(spark):
     ]
 
 
-@pytest.mark.parametrize("seed,block", [(1, 2), (2, 7), (3, 1000)])
+@pytest.mark.parametrize("seed,block", [(1, 2), (2, 7), (3, 1000), (4, 1000), (5, 50)])
 def test_compare_and_set(spark, seed, block):
     pick = random.Random(seed)
     state = {"k0": 3, "k1": 5}
