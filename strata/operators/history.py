@@ -91,7 +91,8 @@ def as_of(history: DataFrame, moment: str) -> DataFrame:
 def mark_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source rows as they are; target rows the source lacks, flagged deleted."""
     columns = source.columns
-    gone = target.alias("t").join(source.alias("s"), match_condition("t", "s", keys), "left_anti")
+    present = source.select(*keys).distinct().alias("s")
+    gone = target.alias("t").join(present, match_condition("t", "s", keys), "left_anti")
     return source.withColumn("is_deleted", F.lit(False)).unionByName(
         gone.select(*columns).withColumn("is_deleted", F.lit(True))
     )

@@ -13,7 +13,8 @@ RUN_RECORD = "tick bigint, status string, snapshot string, error string"
 def due_triggers(triggers: DataFrame, cancelled: DataFrame, fired: DataFrame, now_ms: int) -> DataFrame:
     """One-shot triggers whose time has come, neither cancelled nor fired."""
     ready = triggers.where((F.col("at_unix_ms") > 0) & (F.col("at_unix_ms") <= now_ms))
-    stopped = cancelled.select("trigger_id").unionByName(fired.select("trigger_id"))
+    # distinct shrinks repeated notices of one trigger before they are shuffled
+    stopped = cancelled.select("trigger_id").unionByName(fired.select("trigger_id")).distinct()
     due = ready.join(stopped, "trigger_id", "left_anti")
     return due.select("trigger_id", F.lit(now_ms).cast("bigint").alias("fired_at_unix_ms"))
 

@@ -131,6 +131,6 @@ def incremental_embed(
     fresh = past_mark(target, source, watermark)
     if target.exists():
         unembedded = target.read().where(F.col("embedding").isNull()).drop("embedding")
-        fresh = fresh.unionByName(unembedded.join(fresh.select(*unique_key), list(unique_key), "left_anti"))
+        fresh = fresh.unionByName(unembedded.join(fresh.select(*unique_key).distinct(), list(unique_key), "left_anti"))
     latest = last_per_key(fresh, unique_key, fresh.columns, [watermark]).drop("_strata_copies")
     return target.merge(search.embed(latest, text_column), unique_key, key=key)

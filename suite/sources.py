@@ -146,7 +146,7 @@ def time_travel(spark, sf_dir):
 def merge_upsert(spark, sf_dir):
     """Every order is repriced; where goods came back a later row sets status R."""
     price = repriced(spark, sf_dir)
-    back = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    back = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey").distinct()
     returned = price.join(back, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
     source = (
         price.withColumn("seq", F.lit(1))
