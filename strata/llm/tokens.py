@@ -62,6 +62,15 @@ def spans(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarra
     return (total[end] - total[start]) * down[start]
 
 
+def byte_hashes(sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A mixed hash of stretches of bytes, from what ``running`` made of them."""
+    return mix(spans(sums, start, end) + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def byte_sums(data: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    return running(_table(seed)[data])
+
+
 def class_table(word: str) -> np.ndarray:
     """Which bytes belong to words: "space" splits at white space, "alnum" keeps
     digits, a-z and everything that is not ASCII."""
@@ -154,8 +163,7 @@ class Words:
 
     def hashes(self, seed: int = 1) -> np.ndarray:
         """A mixed 64-bit hash of each word."""
-        sums = running(_table(seed)[self.data])
-        return mix(spans(sums, self.start, self.end) + (self.end - self.start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        return byte_hashes(byte_sums(self.data, seed), self.start, self.end)
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The first word and the hash of every run of ``size`` words of one text."""
