@@ -28,8 +28,8 @@ from strata.llm.tokens import Words, byte_hashes, byte_sums, mix, slices
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 REPEATED = 3
-SPREAD = 8.0
-LEAST = 0.25
+SPREAD = 6.0
+LEAST = 0.12
 BLOCK_GRAMS = 1 << 24
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
