@@ -181,13 +181,14 @@ def _rounded(sizes: DataFrame, cells: DataFrame, targets: DataFrame, tilts: Data
         F.max(F.struct(taken.alias("words"), *place)).alias("most"),
     )
     missing = F.round("target").cast("long") - F.col("given")
-    mended = given.join(targets, "key").select(
+    # written, so that Spark knows its size and a large source is no task of its own
+    mended = written(given.join(targets, "key").select(
         "key",
         F.col("words").alias("source_size"),
         "target",
         F.when(missing > 0, F.least(missing, F.col("room.words"))).otherwise(F.greatest(missing, -F.col("most.words"))).alias("more"),
         F.when(missing > 0, F.col("room")).otherwise(F.col("most")).alias("at"),
-    )
+    ), "mended")
     here = (F.col("at.size") == F.col("size")) & (F.col("at.part") == F.col("part")) & (F.col("at.rank") == F.col("rank"))
     return copied.join(mended, "key").select(
         "doc_id",
