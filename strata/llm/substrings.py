@@ -31,7 +31,7 @@ from strata.llm.tokens import Words, mix, pack, slices, sliding_min, unpack
 
 WINDOW = 20
 PIECE = 4
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 5 << 20
 FLUSH_BYTES = 24 << 20
 FINE_BITS = 16
 NO_ID = np.iinfo(np.int64).max
@@ -201,7 +201,7 @@ def _flushed(held: dict[int, list]) -> pa.RecordBatch:
     buckets, blobs = [], []
     for bucket, parts in held.items():
         columns = list(zip(*parts))
-        blobs.append(pack(*[np.concatenate(c) for c in columns[:5]], b"\n".join(columns[5])))
+        blobs.append(pack(*[np.concatenate(c) for c in columns[:5]], b"\n".join(columns[5]), level=6))
         buckets.append(bucket)
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 

@@ -197,11 +197,11 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Numpy arrays (or bytes) as one compressed binary value."""
     parts = [np.ascontiguousarray(a).tobytes() if isinstance(a, np.ndarray) else bytes(a) for a in arrays]
     body = np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes() + b"".join(parts)
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(body, asbytes=True)
 
 
 def unpack(blob: bytes, *kinds) -> list:
