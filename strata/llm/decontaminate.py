@@ -110,6 +110,28 @@ def _counted(rows: DataFrame, block: Windows) -> np.ndarray:
     return total
 
 
+def _hits(block: Windows, sieve: np.ndarray, words: Words) -> tuple[dict[int, list], dict[int, set]]:
+    """For each text with a window of the block: where its windows lie, and the items."""
+    hits: dict[int, list] = {}
+    items: dict[int, set] = {}
+    data, starts, ends = words.spaced()
+    text = data.tobytes()
+    for at, found in _met(block, sieve, words):
+        for place, shingle in zip(at.tolist(), found.tolist()):
+            doc = int(words.doc[place])
+            begin, end = int(words.first[doc]), int(words.first[doc + 1])
+            for entry in range(block.begin[shingle], block.begin[shingle + 1]):
+                window = int(block.window[entry])
+                first = place - int(block.offset[entry])
+                last = first + int(block.sizes[window])
+                if first < begin or last > end:
+                    continue
+                if text[starts[first] : ends[last - 1]] == block.texts[window]:
+                    hits.setdefault(doc, []).append((first - begin, last - begin))
+                    items.setdefault(doc, set()).update(block.items[window])
+    return hits, items
+
+
 def _searched(rows: DataFrame, block: Windows) -> DataFrame:
     """Each row with the runs of words (start, end) that the block's windows cover,
     merged and in order, and the items they belong to."""
@@ -120,22 +142,7 @@ def _searched(rows: DataFrame, block: Windows) -> DataFrame:
         sieve = block.sieve()
         for batch in slices(batches):
             words = Words(batch.column("text"), "alnum", lower=True)
-            hits: dict[int, list] = {}
-            items: dict[int, set] = {}
-            data, starts, ends = words.spaced()
-            text = data.tobytes()
-            for at, found in _met(block, sieve, words):
-                for place, shingle in zip(at.tolist(), found.tolist()):
-                    doc = int(words.doc[place])
-                    for entry in range(block.begin[shingle], block.begin[shingle + 1]):
-                        window = int(block.window[entry])
-                        first = place - int(block.offset[entry])
-                        last = first + int(block.sizes[window])
-                        if first < words.first[doc] or last > words.first[doc + 1]:
-                            continue
-                        if text[starts[first] : ends[last - 1]] == block.texts[window]:
-                            hits.setdefault(doc, []).append((first - int(words.first[doc]), last - int(words.first[doc])))
-                            items.setdefault(doc, set()).update(block.items[window])
+            hits, items = _hits(block, sieve, words)
             runs = [_merged(hits.get(i, ())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -182,24 +189,51 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.mapInArrow(cut, "item string, window string").groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
+def _blocks(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: int):
+    """The benchmark's windows in blocks, each with its rarest shingles, and whether
+    there are several blocks."""
+    windows = written(benchmark_windows(benchmark, window), "windows")
+    blocks = max(1, -(-windows.count() // block_windows))
+    windows = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    for number in range(blocks):
+        part = windows.where(F.col("block") == number).orderBy("window").toArrow()
+        if part.num_rows:
+            block = Windows(part.column("window").to_pylist(), [sorted(x) for x in part.column("items").to_pylist()])
+            block.keep_rarest(_counted(rows, block))
+            yield block, blocks > 1
+
+
+def keep_clean(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS
+) -> DataFrame:
+    """The documents without any window of the benchmark, all columns as they came."""
+    left = documents
+    for block, _ in _blocks(documents, benchmark, window, block_windows):
+        left = left.mapInArrow(_sifter(documents.sparkSession.sparkContext.broadcast(block)), documents.schema)
+    return left
+
+
+def _sifter(shared):
+    def sift(batches):
+        block = shared.value
+        sieve = block.sieve()
+        for batch in slices(batches):
+            hits, _ = _hits(block, sieve, Words(batch.column("text"), "alnum", lower=True))
+            yield batch.filter(pa.array([i not in hits for i in range(batch.num_rows)]))
+
+    return sift
+
+
 def contaminated(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and runs (the hit
     words as start and end) and items."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark"))
-    windows = written(benchmark_windows(benchmark, window), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     found = []
-    for number in range(blocks):
-        part = windows.where(F.col("block") == number).orderBy("window").toArrow()
-        if not part.num_rows:
-            continue
-        block = Windows(part.column("window").to_pylist(), [sorted(x) for x in part.column("items").to_pylist()])
-        block.keep_rarest(_counted(rows, block))
+    for block, several in _blocks(rows, benchmark, window, block_windows):
         made = _searched(rows, block)
-        found.append(written(made, "hits") if blocks > 1 else made)
+        found.append(written(made, "hits") if several else made)
     if not found:
         found = [_searched(rows, _nothing())]
     hits = found[0]
