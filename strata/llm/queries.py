@@ -1,4 +1,4 @@
 """Importing this registers all queries of the subpackage."""
 
-from strata.llm import chat, decontaminate, jaccard, mixing, pii, quality, substrings  # noqa: F401
+from strata.llm import chat, decontaminate, jaccard, language, mixing, pii, quality, substrings  # noqa: F401
 from strata.llm.registry import ORACLES, QUERIES  # noqa: F401
