@@ -51,7 +51,7 @@ LOOKS = {
 MARKS = ".-_*~'"
 # Costs in nats; a plain letter costs nothing.
 AS_READ, ONE, TWO, HALVED = 1.0, 0.5, 0.8, 2.0
-LEFT_OUT, AT_EDGE = 6.0, 1.0  # signs at a token's edge are often punctuation
+LEFT_OUT, AT_EDGE = 12.0, 1.0  # signs at a token's edge are often punctuation
 OTHER, GAP = 0x80, 0x20  # letters beyond a-z, and what is between words
 
 _LOOK_BYTES = np.zeros(256, dtype=bool)
@@ -174,7 +174,7 @@ def disguised(column: pa.Array) -> list[list[str]]:
         made[words.doc[i]].append(raw[words.start[i] : words.end[i]].decode())
     # letters (or look-alikes) standing alone
     points = per_word((data & 0xC0) != 0x80)
-    alone = (points == 1) & ((letters_in == 1) | (looks == 1))
+    alone = ((points <= 2) & (letters_in == 1) & (looks == 0)) | ((points == 1) & (looks == 1))
     begin = np.flatnonzero(alone & ~np.append(False, alone[:-1] & (words.doc[1:] == words.doc[:-1])))
     ends = np.flatnonzero(alone & ~np.append(alone[1:] & (words.doc[1:] == words.doc[:-1]), False)) + 1
     for a, b in zip(begin.tolist(), ends.tolist()):
