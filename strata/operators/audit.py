@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.matching import join_on
 from strata.operators.ordered import BLOCK_ROWS, previous
 from strata.session import workspace
 
@@ -26,7 +27,8 @@ def verify_chain(
     record_hash. ``heads`` (chain_id, head_hash) holds the last committed hash per
     chain and ``committed`` (chain_id, id) the ids already stored. A known id is a
     duplicate; a record that does not continue the chain is rejected together
-    with everything after it.
+    with everything after it. A null id or chain is a value like any other, so every
+    record gets a verdict.
 
     The chain is walked in blocks, and "everything after" is a comparison with the
     chain's first break, so a single long chain still spreads over many tasks.
@@ -36,8 +38,8 @@ def verify_chain(
         first_use = first_use.withColumn("stored", F.lit(False))
     else:
         stored = committed.select("chain_id", "id").distinct().withColumn("stored", F.lit(True))
-        first_use = first_use.join(stored, ["chain_id", "id"], "left")
-    marked = batch.join(first_use, ["chain_id", "id"]).withColumn(
+        first_use = join_on(first_use, stored, ["chain_id", "id"], "left")
+    marked = join_on(batch, first_use, ["chain_id", "id"]).withColumn(
         "repeated", F.coalesce("stored", F.lit(False)) | (F.col("seq") > F.col("first_seq"))
     )
     # read three times below, so kept
@@ -49,12 +51,12 @@ def verify_chain(
     if heads is None:
         linked = linked.withColumn("head_hash", F.lit(""))
     else:
-        linked = linked.join(heads.select("chain_id", "head_hash"), "chain_id", "left")
+        linked = join_on(linked, heads.select("chain_id", "head_hash"), ["chain_id"], "left")
     expected = F.coalesce("before_hash", "head_hash", F.lit(""))
     breaks = (
         linked.where(~F.col("prev_hash").eqNullSafe(expected)).groupBy("chain_id").agg(F.min("seq").alias("broken_at"))
     )
-    judged = marked.join(breaks, "chain_id", "left")
+    judged = join_on(marked, breaks, ["chain_id"], "left")
     status = (
         F.when(F.col("seq") >= F.col("broken_at"), CHAIN_BREAK)
         .when(F.col("repeated"), DUPLICATE)
@@ -66,7 +68,7 @@ def verify_chain(
 def chain_heads(batch: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Last committed id and hash per chain, for the next batch to start from."""
     kept = verdicts.where(F.col("status") == COMMITTED).select("chain_id", "seq", "id")
-    rows = batch.select("chain_id", "seq", "record_hash").join(kept, ["chain_id", "seq"])
+    rows = join_on(batch.select("chain_id", "seq", "record_hash"), kept, ["chain_id", "seq"])
     return rows.groupBy("chain_id").agg(
         F.max_by("id", "seq").alias("last_id"), F.max_by("record_hash", "seq").alias("head_hash")
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from strata.operators.matching import join_on
 from strata.operators.ordered import BLOCK_ROWS, positions, running
 from strata.session import workspace
 
@@ -41,11 +42,12 @@ def number_changes(changes: DataFrame, order: str, after: int = 0, block_rows: i
 
 def create_if_absent(requests: DataFrame, state: DataFrame) -> DataFrame:
     """Judge creates of (seq, key, value): the first request for a key that
-    ``state`` (key, revision) lacks wins and its seq becomes the revision."""
+    ``state`` (key, revision) lacks wins and its seq becomes the revision. Null is a
+    key like any other."""
     first = requests.groupBy("key").agg(F.min("seq").alias("first_seq"))
     present = state.select("key", F.col("revision").alias("present"))
-    owners = first.join(present, "key", "left")
-    judged = requests.join(owners, "key")
+    owners = join_on(first, present, ["key"], "left")
+    judged = join_on(requests, owners, ["key"])
     created = F.col("present").isNull() & (F.col("seq") == F.col("first_seq"))
     return judged.select("seq", "key", created.alias("created"), F.coalesce("present", "first_seq").alias("revision"))
 
@@ -79,7 +81,7 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
     free = F.when(F.col("if_revision") == 0, F.col("seq"))
     looking_back = {"free_before": ("max", free), "before": ("max", F.col("seq"))}
     behind = running(writes, ["key"], "seq", looking_back, block_rows, before_only=True)
-    seen = kept_in("writes", behind.join(stored, "key", "left"))
+    seen = kept_in("writes", join_on(behind, stored, ["key"], "left"))
 
     # only the first write naming a revision can take it
     conditional = seen.where((F.col("if_revision") > 0) & (F.col("if_revision") < F.col("seq")))
@@ -94,7 +96,7 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
 
     # fate 0 commits, -1 does not, and any other number is the write it depends on
     fate = F.when(F.col("if_revision") == 0, 0).otherwise(F.coalesce("claim", F.lit(-1))).cast("bigint")
-    fated = seen.join(claims, ["key", "seq"], "left").withColumn("fate", fate).drop("claim")
+    fated = join_on(seen, claims, ["key", "seq"], "left").withColumn("fate", fate).drop("claim")
     heading = F.when(~((F.col("fate") > 0) & F.col("fate").eqNullSafe(F.col("before"))), F.struct("seq", "fate"))
     runs = running(fated, ["key"], "seq", {"run": ("max", heading)}, block_rows)
     runs = kept_in(
@@ -109,7 +111,7 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
     ahead = runs.where(F.col("fate") >= 0).select("key", F.col("seq").alias("pointer"), target.alias("next"))
     rounds: list[str] = []
     while True:
-        step = heads.join(ahead, ["key", "pointer"]).select("key", "seq", F.col("next").alias("pointer"))
+        step = join_on(heads, ahead, ["key", "pointer"]).select("key", "seq", F.col("next").alias("pointer"))
         rounds.append(f"{folder}/round={len(rounds)}")
         moved = Observation()
         step.observe(moved, F.count_if(F.col("pointer") > 0).alias("open")).write.parquet(rounds[-1])
@@ -121,7 +123,7 @@ def compare_and_set(writes: DataFrame, state: DataFrame, block_rows: int = BLOCK
 
     taken = settled.select("key", F.col("seq").alias("head"), F.lit(True).alias("taken"))
     committed = (F.col("fate") == 0) | F.coalesce("taken", F.lit(False))
-    judged = runs.join(taken, ["key", "head"], "left").withColumn("committed", committed)
+    judged = join_on(runs, taken, ["key", "head"], "left").withColumn("committed", committed)
     at = F.when(F.col("committed"), F.col("seq"))
     met = running(judged, ["key"], "seq", {"met": ("max", at)}, block_rows, before_only=True)
     revision = F.when(F.col("committed"), F.col("seq")).otherwise(F.coalesce("met", "stored", F.lit(0)))

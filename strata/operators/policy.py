@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.matching import join_on
 from strata.operators.selection import top_per_group
 
 # Decision kinds and deny codes; "" means allowed.
@@ -35,11 +36,11 @@ def decide(requests: DataFrame, allow_list: DataFrame, quota_limit: int) -> Data
 
     In-tenant permissions pass; sharing needs the pair (tenant, counterparty) on
     the allow list; the n-th quota request of a tenant passes up to the limit;
-    any other kind is forbidden.
+    any other kind is forbidden. Requests without a tenant share one quota.
     """
     marks = quota_marks(requests, quota_limit)
     pairs = allow_list.select("tenant", "counterparty").distinct().withColumn("listed", F.lit(True))
-    known = requests.join(marks, "tenant", "left").join(pairs, ["tenant", "counterparty"], "left")
+    known = join_on(join_on(requests, marks, ["tenant"], "left"), pairs, ["tenant", "counterparty"], "left")
     over = F.struct("at", "request_id") > F.col("last_allowed")
     deny = (
         F.when(F.col("kind") == PERMISSION, "")

@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.operators.matching import match_condition
+from strata.operators.matching import join_on, match_condition
 from strata.operators.skew import salt
 from strata.session import workspace
 
@@ -49,14 +50,17 @@ def exact_positions(
     group's (min, max) and is cut into equal parts, of which counting finds the
     right one, until it holds at most ``ranked_rows`` rows or a single value.
     Only those rows are ranked. A pass is an aggregation; what is known of the
-    ranges is a small table, kept between passes.
+    ranges is a small table, kept between passes. Infinities and NaN (the largest
+    value, as everywhere in Spark) are parts of their own, and the smallest and
+    the largest number of a range are in different parts, so every pass narrows it.
+    Without ``keys`` all rows are one group; without rows there is no group.
     """
     spark = rows.sparkSession
     folder = workspace(spark, "positions")
     present = rows.select(*keys, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
     groups = present.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_value").alias("mean"), F.min("_value").alias("low"), F.max("_value").alias("high")
-    )
+    ).where("n > 0")
     targets = F.array(
         *[F.struct(F.lit(name).alias("name"), F.expr(f"n * {a} div {b}").alias("target")) for name, (a, b) in wanted.items()]
     )
@@ -98,16 +102,34 @@ def _near(present: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFra
 
 def _narrowed(present: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each range cut down to the part that holds its target."""
-    width = (F.col("high") - F.col("low")).cast("double")
-    part = F.floor((F.col("_value") - F.col("low")).cast("double") / width * CUTS)
-    cut = (
-        F.when(F.col("_value") < F.col("low"), F.lit(-1))
-        .when(width > 0, F.least(part, F.lit(CUTS - 1)))
-        .otherwise(F.lit(0))
-    )
+    near = _near(present, ranges, keys)
+    number, low, high = F.col("_value"), F.col("low"), F.col("high")
+    if isinstance(present.schema["_value"].dataType, T.FractionalType) and not isinstance(
+        present.schema["_value"].dataType, T.DecimalType
+    ):
+        # halves, so that the width of a range cannot overflow
+        finite = F.when(~F.isnan("_value") & (F.abs("_value") < F.lit(float("inf"))), number.cast("double") / 2)
+        ends = near.groupBy(*keys, "name").agg(
+            F.min(F.when(number >= low, finite)).alias("_least"), F.max(F.when(number >= low, finite)).alias("_most")
+        )
+        near = join_on(near, ends, [*keys, "name"])
+        share = (finite - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0.0))
+        last = F.when(F.isnan("_value"), F.lit(CUTS + 1)).when(number > 0, F.lit(CUTS)).otherwise(F.lit(-1))
+        inside = F.when(finite.isNull(), last).otherwise(F.coalesce(F.least(F.floor(share * CUTS), F.lit(CUTS - 1)), F.lit(0)))
+    else:
+        exact = T.DecimalType(38, 0) if isinstance(present.schema["_value"].dataType, T.IntegralType) else None
+        as_exact = (lambda c: c.cast(exact)) if exact else (lambda c: c)
+        share = (as_exact(number) - as_exact(low)).cast("double") / F.nullif(
+            (as_exact(high) - as_exact(low)).cast("double"), F.lit(0.0)
+        )
+        # the largest value has a part of its own, so that a pass always narrows
+        inside = F.when(number == high, F.lit(CUTS)).otherwise(
+            F.coalesce(F.least(F.floor(share * CUTS), F.lit(CUTS - 1)), F.lit(0))
+        )
+    # below a range comes before all of its parts
+    cut = F.when(number < low, F.lit(-2)).otherwise(inside)
     parts = (
-        _near(present, ranges, keys)
-        .groupBy(*keys, "name", cut.alias("_part"))
+        near.groupBy(*keys, "name", cut.alias("_part"))
         .agg(
             F.count(F.lit(1)).alias("inside"),
             F.min("_value").alias("low"),

@@ -62,8 +62,8 @@ class VersionedTable:
     ):
         if not path or identifier == "":
             raise InvalidArgument("a table needs a name")
-        if not branch:
-            raise InvalidArgument("a branch needs a name")
+        if not branch or "/" in branch:
+            raise InvalidArgument("a branch needs a name without a slash")
         self.spark = spark
         self.path = path.rstrip("/")
         self.identifier = identifier or self.path.rsplit("/", 1)[-1]
@@ -81,6 +81,10 @@ class VersionedTable:
     def exists(self) -> bool:
         return bool(self.log.versions())
 
+    def version(self) -> int:
+        """The newest version, -1 before the first write."""
+        return max(self.log.versions(), default=-1)
+
     def snapshot_id(self) -> str:
         head = self.head()
         return head["snapshot_id"] if head else ""
@@ -133,6 +137,8 @@ class VersionedTable:
             # AQE splits hot partitions and packs small ones
             frame = frame.hint("rebalance", *partition_by)
         metrics = [F.count(F.lit(1)).alias("rows")]
+        strings = [name for name in partition_by if frame.schema[name].dataType == T.StringType()]
+        metrics += [F.count_if(F.col(f"`{name}`") == "").alias(f"_empty_{i}") for i, name in enumerate(strings)]
         metrics += [column.alias(name) for name, column in (measures or {}).items()]
         hidden = [name for name in frame.columns if name.startswith("_strata_")]
         schema = T.StructType([f for f in frame.schema.fields if f.name not in hidden])
@@ -140,6 +146,8 @@ class VersionedTable:
         observed.write.partitionBy(*partition_by).parquet(f"{self.data}/{write_id}")
         seen = counted.get
         rows = seen.get("rows", 0)
+        if any(seen.get(f"_empty_{i}") for i in range(len(strings))):
+            raise InvalidArgument("an empty string in a partition column would be stored as null")
         delivered = rows if "delivered" not in (measures or {}) else (seen.get("delivered") or 0)
         if expected_rows is not None and delivered != expected_rows:
             raise FailedPrecondition(f"truncated input: {expected_rows} rows declared, {delivered} arrived")
@@ -192,6 +200,10 @@ class VersionedTable:
             "folders": list(folders),
         }
         if not self.log.add(version, record):
+            # the same write may have won from elsewhere
+            done = self.applied(key)
+            if done:
+                return done
             raise FailedPrecondition(f"{self.identifier} moved past version {base_version} (concurrent write)")
         return WriteResult(rows_affected, record["snapshot_id"], version)
 

@@ -27,7 +27,10 @@ def route_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def change_feed(log: DataFrame, prefix: str = "", from_revision: int = 1) -> DataFrame:
-    """Log entries under a prefix from a revision on, as they arrive."""
+    """Log entries under a prefix from a revision on, as they arrive; 0 asks for
+    none, as it does of the log itself."""
+    if from_revision == 0:
+        return log.where(F.lit(False))
     return log.where((F.col("revision") >= from_revision) & F.startswith("key", F.lit(prefix)))
 
 

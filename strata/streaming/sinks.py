@@ -13,10 +13,13 @@ from strata.sources.versioned import VersionedTable
 
 def once_per_batch(stream: DataFrame, name: str, apply: Callable) -> DataStreamWriter:
     """Call ``apply(rows, key)`` per micro-batch with a key that a replayed batch
-    repeats, for writes that skip keys they have seen."""
+    repeats, for writes that skip keys they have seen. Batches are numbered by their
+    checkpoint, so the key names it too: a new checkpoint counts from 0 again, over
+    whatever there is to read by then."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        apply(rows, f"{name}-{batch_id}")
+        checkpoint = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        apply(rows, f"{name}-{checkpoint}-{batch_id}")
 
     return stream.writeStream.queryName(name).foreachBatch(write)
 
@@ -33,7 +36,8 @@ def merge_stream(stream: DataFrame, name: str, table: VersionedTable, keys) -> D
 def incremental_stream(
     stream: DataFrame, name: str, table: VersionedTable, unique_key, watermark: str
 ) -> DataStreamWriter:
-    """The incremental load as a continuous job."""
+    """The incremental load as a continuous job. What is new is the checkpoint's to
+    say; the load only keeps a key's older rows from replacing newer ones."""
     return once_per_batch(
         stream, name, lambda rows, key: incremental(table, rows, unique_key, watermark, key=key)
     )

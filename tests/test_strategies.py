@@ -1,6 +1,7 @@
 """Load strategies, models and quality tests on the golden scenarios."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata import FailedPrecondition, InvalidArgument, NotFound, VersionedTable, preview, query, workspace
 from strata.plans import strategies
@@ -189,3 +190,81 @@ def test_parquet_source(spark, folder):
     assert as_set(read_parquet(spark, folder, ["v"], "id > 2")) == [(6,), (8,)]
     with pytest.raises(InvalidArgument):
         read_parquet(spark, "")
+
+
+def test_a_refresh_needs_a_run(spark, folder):
+    with pytest.raises(InvalidArgument):
+        strategies.full_refresh(VersionedTable(spark, folder), "SELECT 1 AS one", {})
+
+
+def test_marks_that_tie_come_late_or_are_missing(spark, folder):
+    rows = lambda data: spark.createDataFrame(data, "id int, v string, at int")
+    table = VersionedTable(spark, f"{folder}/any")
+    strategies.incremental(table, rows([(1, "a", 10), (2, "b", 5), (9, "n", None)]), ["id"], "at")
+    later = rows([(3, "tie", 10), (4, "late", 5), (5, "none", None), (1, "old", 9), (2, "same", 5), (9, "m", None), (1, "gone", None)])
+    assert strategies.incremental(table, later, ["id"], "at").rows_affected == 5
+    wanted = [(1, "a", 10), (2, "same", 5), (3, "tie", 10), (4, "late", 5), (5, "none", None), (9, "m", None)]
+    assert as_set(table.read()) == sorted(wanted, key=repr)
+    assert strategies.incremental(table, later, ["id"], "at").rows_affected == 0
+    far = rows([(6, "too late", 3), (7, "in time", 8), (8, "none", None)])
+    assert strategies.incremental(table, far, ["id"], "at", lateness=4).rows_affected == 2
+
+
+def test_loads_survive_another_writer(spark, folder, monkeypatch):
+    """Another load commits after a load has read the table and before it writes."""
+    rows = lambda data: spark.createDataFrame(data, "id int, v string, at int")
+
+    def interleave(table, other):
+        plain, waiting = VersionedTable.read, [other]
+
+        def read(self, *args, **named):
+            frame = plain(self, *args, **named)
+            if self is table and waiting:
+                waiting.pop()()
+            return frame
+
+        monkeypatch.setattr(VersionedTable, "read", read)
+
+    soft = VersionedTable(spark, f"{folder}/soft")
+    strategies.soft_delete(soft, rows([(1, "a", 1)]), ["id"])
+    added = rows([(7, "other", 1)]).withColumn("is_deleted", F.lit(False))
+    interleave(soft, lambda: VersionedTable(spark, soft.path).append(added))
+    strategies.soft_delete(soft, rows([(1, "a", 2)]), ["id"])
+    assert as_set(soft.read(), "id", "is_deleted") == [(1, False), (7, True)]
+
+    spec = {"natural_key": ["id"], "tracked": ["name", "region"]}
+    kept = strategies.scd2_table(spark, f"{folder}/kept")
+    strategies.scd2(kept, customers(spark, [(1, "Ann", "north")]), effective_from="t1", **spec)
+    interleave(
+        kept, lambda: strategies.scd2(VersionedTable(spark, kept.path), customers(spark, [(1, "Ann", "east")]), effective_from="t2", **spec)
+    )
+    strategies.scd2(kept, customers(spark, [(1, "Ann", "west")]), effective_from="t3", **spec)
+    assert as_set(kept.read().where("is_current"), "id", "region") == [(1, "west")]
+    assert as_set(kept.read(), "region", "effective_to") == [("east", "t3"), ("north", "t2"), ("west", "")]
+
+    table = VersionedTable(spark, f"{folder}/embedded")
+    docs = lambda data: spark.createDataFrame(data, "id int, text string, at int")
+    embed = lambda at, data: strategies.incremental_embed(at, docs(data), ["id"], "text", "at")
+    embed(table, [(1, "one", 1)])
+    interleave(table, lambda: embed(VersionedTable(spark, table.path), [(1, "newest", 3)]))
+    embed(table, [(1, "newer", 2), (2, "two", 1)])
+    assert as_set(table.read(), "id", "text") == [(1, "newest"), (2, "two")]
+
+
+def test_a_truncated_source_is_refused_by_every_load(spark, folder):
+    rows = spark.createDataFrame([(1, "a", 1)], "id int, v string, at int")
+    table = lambda name: VersionedTable(spark, f"{folder}/{name}")
+    loads = [
+        lambda n: strategies.full_refresh(table("a"), "SELECT * FROM t", {"t": rows}, "r", expected_rows=n),
+        lambda n: strategies.append_load(table("b"), rows, expected_rows=n),
+        lambda n: strategies.incremental(table("c"), rows, ["id"], "at", expected_rows=n),
+        lambda n: strategies.delete_insert(table("d"), rows, ["id"], expected_rows=n),
+        lambda n: strategies.snapshot(table("e"), rows, "d1", expected_rows=n),
+        lambda n: strategies.soft_delete(table("f"), rows, ["id"], expected_rows=n),
+        lambda n: strategies.scd2(table("g"), rows, ["id"], ["v"], "t1", expected_rows=n),
+        lambda n: strategies.incremental_embed(table("h"), rows, ["id"], "v", "at", expected_rows=n),
+    ]
+    for load in loads:
+        with pytest.raises(FailedPrecondition):
+            load(2)
+        assert load(1).rows_affected == 1

@@ -61,9 +61,34 @@ def test_a_replayed_batch_takes_effect_once(spark, feed, folder):
 
     drain(once_per_batch(feed.stream(), "replay", twice), feed.checkpoint)
     assert table.read().count() == 1
-    # a lost checkpoint redelivers batch 0 under the same key
-    drain(once_per_batch(feed.stream(), "replay", lambda rows, key: table.append(rows, key=key)), workspace(spark, "lost"))
-    assert table.read().count() == 1
+
+
+def test_a_new_checkpoint_loses_nothing(spark, feed, folder):
+    """Batches of a new checkpoint are numbered from 0 again, but are not the old ones."""
+    table = VersionedTable(spark, folder)
+    run = lambda at: drain(incremental_stream(feed.stream(), "load", table, ["event_id"], "revision"), at)
+    feed.land([(1, 1, "s", "a", "k", 1)])
+    run(feed.checkpoint)
+    feed.land([(2, 2, "s", "b", "k", 2), (1, 3, "s", "newer", "k", 3)])
+    run(workspace(spark, "new"))
+    assert as_set(table.read(), "event_id", "name") == [(1, "newer"), (2, "b")]
+
+
+def test_the_change_feed_from_now_on_has_no_backlog(spark, feed):
+    feed.land([(1, 1, "s", "a", "app/x", 1)])
+    assert streaming.change_feed(spark.read.schema(SCHEMA).parquet(feed.path), "app/", 0).count() == 0
+
+
+def test_marks_of_a_stream_may_come_in_any_order(spark, feed, folder):
+    table = VersionedTable(spark, folder)
+    run = lambda: drain(incremental_stream(feed.stream(), "load", table, ["event_id"], "revision"), feed.checkpoint)
+    feed.land([(1, 1, "s", "a", "k", 10)])
+    run()
+    feed.land([(2, 2, "s", "b", "k", 9), (3, 2, "s", "c", "k", 10), (4, 2, "s", "d", "k", 11), (5, 2, "s", "e", "k", None)])
+    run()
+    feed.land([(1, 3, "s", "stale", "k", 9), (1, 3, "s", "none", "k", None), (2, 3, "s", "b2", "k", 9)])
+    run()
+    assert as_set(table.read(), "event_id", "name") == [(1, "a"), (2, "b2"), (3, "c"), (4, "d"), (5, "e")]
 
 
 def test_change_feed_and_routing(spark, feed, folder):
