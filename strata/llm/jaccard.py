@@ -15,9 +15,10 @@ segments, each with its one-deletion neighbourhood (the signatures with one elem
 left out), which finds segments that differ in one element; there every signature
 is used, and sets that still have too few share one of their own.
 
-Work is kept linear. Equal sets and shared signatures inside a slice of the input
-travel once. Of each signature's sets all are first compared with the smallest id
-only, and linked ones become one class; pairs are made between classes only.
+Work is kept linear. Equal sets inside a slice of the input travel once, and are one
+set once they have met. Sets that share too few signatures to be similar to any are
+left out. Of each signature's sets all are first compared with one of them only, a
+few times over, and linked ones become one class; pairs are made between classes.
 
 Rows with a null id are linked with nothing and have no component; rows that share
 an id share its links. Null and empty texts have no shingles. Other columns are not
@@ -42,7 +43,9 @@ WORDS = 5
 BAND = 1.5
 FLUSH_SIGNATURES = 1 << 20
 BUCKET_SIGNATURES = 1 << 19
-CROWD = 64  # pairs a signature may make for each of its sets
+SPARE = 5  # segments a set uses beyond what it needs
+CROWD = 32  # pairs a signature may make for each of its sets
+ROUNDS = 6  # of comparing with one set per signature, before all pairs are made
 MEMBERS = 2000  # sets compared with one leader in one task
 FILTER_BITS = 1 << 24
 _U = np.uint64
@@ -78,13 +81,13 @@ class Band:
     def __init__(self, number: int, low: int, high: int):
         self.number, self.low, self.high = number, low, high
         most = _differ(2 * high) + 1
-        self.segments = math.ceil((most + 2 + 2.5 * math.sqrt(most * 0.02)) / 0.98) + 1
+        self.segments = math.ceil((most + SPARE + 2.5 * math.sqrt(most * 0.02)) / 0.98) + 1
         self.paired = max(1, math.ceil(most * 0.53) + (most > 2))
         self.least = -(-4 * low // 5)
         sizes = np.arange(self.least, high + 1)
         need = _differ(sizes + np.minimum(5 * sizes // 4, high)) + 1
         empty = np.exp(-sizes / self.segments)
-        wanted = np.ceil((need + 2 + 2.5 * np.sqrt(need * empty)) / (1 - empty))
+        wanted = np.ceil((need + SPARE + 2.5 * np.sqrt(need * empty)) / (1 - empty))
         # how many segments a set of each size uses
         self.used = np.minimum(wanted, self.segments).astype(np.int64)
 
@@ -276,51 +279,87 @@ def linked(documents: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc, class) for the documents of ``nodes``."""
     members = nodes.select("doc", "first")
-    sizes = nodes.groupBy("first").agg(
+    facts = nodes.groupBy(F.col("first").alias("doc")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("margin").alias("margin")
     )
-    shared = written(
-        met.join(members, "doc").select("sign", F.col("first").alias("doc")).distinct()
-        .join(sizes.withColumnRenamed("first", "doc"), "doc"),
-        "shared",
-    )
-    least = shared.groupBy("sign").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z")
-    stars = shared.join(least, "sign").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
-    judged = written(stars, "stars")
-    links = written(_verified(rows, judged), "verified")
-    classes = _with_classes(shared, links)
+    shared = met.join(members, "doc").select("sign", F.col("first").alias("doc")).distinct()
+    shared = written(_promising(_promising(shared.join(facts, "doc"))), "shared")
+    texts = written(_texts(rows, shared.select(F.col("doc").alias("wanted"))), "texts")
+    links, judged = _stars(texts, shared)
 
     # what each signature would make of the classes that are left
-    left = classes.groupBy("sign", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("sign").agg(
-        F.sum("m").alias("sets"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("classes")
+    open_ = written(_open(_with_classes(shared, links)), "open")
+    left = open_.groupBy("sign", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("sign").agg(
+        F.sum("m").alias("sets"), F.sum(F.col("m") * F.col("m")).alias("squares")
     )
-    left = left.where("classes > 1").select(
-        "sign", (F.col("sets") * F.col("sets") - F.col("squares") > 2 * CROWD * F.col("sets")).alias("crowded")
+    crowded = left.where(F.col("sets") * F.col("sets") - F.col("squares") > 2 * CROWD * F.col("sets")).select("sign")
+    spent = open_.join(crowded, "sign").groupBy("doc").agg(F.count(F.lit(1)).alias("spent"))
+    spare = shared.select("doc", "low", "high", "margin").distinct().join(spent, "doc", "left")
+    spare = written(
+        spare.select("doc", "low", "high", (F.col("margin") - F.coalesce("spent", F.lit(0))).alias("spare")), "spare"
     )
-    open_ = written(classes.join(left, "sign"), "open")
-    spent = open_.where("crowded").groupBy("doc").agg(F.count(F.lit(1)).alias("spent"))
-    spare = nodes.groupBy(F.col("first").alias("doc")).agg(
-        F.min("margin").alias("margin"), F.min("n").alias("low"), F.max("n").alias("high")
-    ).join(spent, "doc", "left").select("doc", "low", "high", (F.col("margin") - F.coalesce("spent", F.lit(0))).alias("spare"))
-    spare = written(spare, "spare")
-    usable = open_.where("not crowded").select("sign", "doc", "class").join(spare, "doc")
-    # two similar sets share more signatures than either has to spare
+    usable = open_.join(crowded, "sign", "left_anti").select("sign", "doc", "class").join(spare, "doc")
     pairs = _pairs_of(usable).where(F.col("common") > F.col("spare")).select("a", "b")
     more = written(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
     judged = judged.union(more)
-    links = written(links.union(_verified(rows, more)), "verified")
+    links = written(links.union(_verified(texts, more)), "verified")
 
     short = spare.where("spare < 0")
     if short.limit(2).count() > 1:
-        near = _with_classes(_neighbourhood_rows(rows, short), links)
-        pairs = _pairs_of(near).select("a", "b").join(judged, ["a", "b"], "left_anti")
-        links = links.union(_verified(rows, written(pairs, "pairs")))
+        near = _with_classes(_neighbourhood_rows(texts, short), links)
+        pairs = _pairs_of(_open(near)).select("a", "b").join(judged, ["a", "b"], "left_anti")
+        links = links.union(_verified(texts, written(pairs, "pairs")))
     found = components(links).withColumnRenamed("component", "class")
     return members.join(found, members["first"] == found["node"], "left").select(
         "doc", F.coalesce("class", "first").alias("class")
     )
 
 
+def _promising(shared: DataFrame) -> DataFrame:
+    """Without the sets that share no more signatures than they have to spare (two
+    similar sets share more), and without signatures that only one set has then."""
+    counts = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("signs"))
+    kept = shared.join(counts, "doc").where(F.col("signs") > F.col("margin")).drop("signs")
+    several = kept.groupBy("sign").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).where("_a < _z").select("sign")
+    return kept.join(several, "sign")
+
+
+def _open(classed: DataFrame) -> DataFrame:
+    """The rows of signatures with several classes."""
+    several = classed.groupBy("sign").agg(F.min("class").alias("_a"), F.max("class").alias("_z")).where("_a < _z")
+    return classed.join(several.select("sign"), "sign")
+
+
+def _stars(texts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links found by comparing the sets of each signature with one of them only, and
+    the pairs compared. Sets that are linked by then are one class, and only sets of
+    different classes are compared; which set leads is drawn anew each round, by a
+    hash of its id. This finds most links, the rest is left to the pairs."""
+    spark = shared.sparkSession
+    links = judged = spark.createDataFrame([], "a long, b long")
+    for number in range(ROUNDS):
+        open_ = _open(_with_classes(shared, links)) if number else shared.withColumn("class", F.col("doc"))
+        order = F.struct(F.xxhash64(F.lit(number), "doc") if number else F.lit(0).cast("long"), "doc", "class", "low", "high", "margin")
+        leaders = open_.groupBy("sign").agg(F.min(order).alias("l"))
+        met = open_.join(leaders, "sign").where(F.col("class") != F.col("l.class"))
+        fits = (5 * F.col("high") >= 4 * F.col("l.low")) & (5 * F.col("l.high") >= 4 * F.col("low"))
+        stars = met.where(fits).groupBy(F.col("l.doc").alias("a"), F.col("doc").alias("b")).agg(
+            F.count(F.lit(1)).alias("common"), F.max(F.greatest("margin", "l.margin")).alias("margin")
+        )
+        stars = stars.where(F.col("common") > F.col("margin")).select("a", "b", F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"))
+        fresh = stars.join(judged.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
+        fresh = written(fresh, "stars")
+        asked = fresh.count()
+        if not asked:
+            break
+        new = written(_verified(texts, fresh.select("a", "b")), "links")
+        links = written(links.union(new), "verified")
+        judged = written(judged.union(fresh.select(F.col("_x").alias("a"), F.col("_y").alias("b"))), "judged")
+        if 50 * new.count() < asked:
+            break
+    return links, judged
+
+
 def _with_classes(shared: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).select(F.col("node").alias("doc"), F.col("component").alias("class"))
     return shared.join(found, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
@@ -338,7 +377,7 @@ def _pairs_of(shared: DataFrame) -> DataFrame:
     )
 
 
-def _neighbourhood_rows(rows: DataFrame, short: DataFrame) -> DataFrame:
+def _neighbourhood_rows(texts: DataFrame, short: DataFrame) -> DataFrame:
     def make(batches):
         for batch in slices(batches):
             sets = [neighbourhoods(x) for x in shingle_sets(batch.column("text"))]
@@ -347,8 +386,8 @@ def _neighbourhood_rows(rows: DataFrame, short: DataFrame) -> DataFrame:
                 [pa.array(np.concatenate(sets).view(np.int64)), pa.array(names)], ["sign", "doc"]
             )
 
-    texts = _texts(rows, short.select(F.col("doc").alias("wanted")))
-    made = texts.mapInArrow(make, "sign long, doc long").distinct()
+    wanted = texts.join(short.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    made = wanted.mapInArrow(make, "sign long, doc long").distinct()
     return written(made.join(short, "doc"), "neighbourhoods")
 
 
@@ -383,7 +422,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.join(wanted.distinct(), some["doc_id"] == wanted["wanted"], "left_semi")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those (a, b) whose whole shingle sets are similar. Sets to compare with the
     same one follow it through a task, at most about ``MEMBERS`` of them."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("parts"))
@@ -392,9 +431,7 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         "a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), F.col("b").alias("doc")
     )
     asked = leaders.withColumn("leads", F.lit(True)).union(others.withColumn("leads", F.lit(False)))
-    asked = written(asked, "asked")
-    texts = _texts(rows, asked.select(F.col("doc").alias("wanted")).distinct())
-    placed = asked.join(texts, asked["doc"] == texts["doc_id"]).select("a", "part", "leads", "doc", "text")
+    placed = asked.join(texts, F.col("doc") == F.col("doc_id")).select("a", "part", "leads", "doc", "text")
     follow = placed.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("leads"))
     return follow.mapInArrow(_compare, "a long, b long").distinct()
 
