@@ -37,7 +37,8 @@ from strata.llm.tokens import Words, byte_hashes, byte_sums, mix, slices, spans,
 SAMPLE = 20_000
 LEAST_DOCUMENTS = 4
 LEAST_SHARE = 0.002
-CERTAIN = 5.0  # standard errors by which a lexicon word is more frequent
+CERTAIN = 4.5  # standard errors by which a lexicon word is in more toxic texts than by chance
+SAYS = 1.2  # and the log of how many times more
 BEGINNINGS = (4, 5, 6, 7, 8, 9)  # bytes
 THRESHOLD = 0.7
 _U = np.uint64
@@ -237,6 +238,14 @@ class Lexicon:
         return np.stack([np.ones(texts), np.log1p(total), most, np.log1p(hits), np.log1p(words.counts)], axis=1)
 
 
+def _once(values: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value and document that come together, once."""
+    order = np.lexsort((documents, values))
+    values, documents = values[order], documents[order]
+    fresh = np.append(True, (values[1:] != values[:-1]) | (documents[1:] != documents[:-1]))[: len(values)]
+    return values[fresh], documents[fresh]
+
+
 _LOOKS = "label int, looks array<double>"
 
 
@@ -261,13 +270,7 @@ def learn_lexicon(labelled: DataFrame, channel: Channel) -> Lexicon:
         channel = shared.value
         for batch in slices(batches):
             words = Words(pa.array(restored(batch.column("text").to_pylist(), channel), pa.string()))
-            found = []
-            for at, hashes in _features(words):
-                pairs = np.stack([hashes, words.doc[at].astype(_U)])
-                order = np.lexsort(pairs)
-                pairs = pairs[:, order]
-                fresh = np.append(True, (np.diff(pairs[0]) != 0) | (np.diff(pairs[1]) != 0))[: pairs.shape[1]]
-                found.append(pairs[0][fresh])
+            found = [_once(hashes, words.doc[at])[0] for at, hashes in _features(words)]
             hashes, documents = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(documents)], ["feature", "documents"])
 
@@ -285,14 +288,14 @@ def learn_lexicon(labelled: DataFrame, channel: Channel) -> Lexicon:
         times, total = np.zeros((2, len(lexicon.known)), dtype=np.int64), [0, 0]
         for batch in slices(batches):
             words = Words(pa.array(restored(batch.column("text").to_pylist(), channel), pa.string()))
-            label = batch.column("label").to_numpy()[words.doc]
+            label = batch.column("label").to_numpy()
             for side in (0, 1):
                 total[side] += int((label == side).sum())
             for at, hashes in _features(words):
                 which, place = lexicon.find(hashes)
-                side = label[at[which]]
-                for value in (0, 1):
-                    times[value] += np.bincount(place[side == value], minlength=times.shape[1])
+                place, document = _once(place, words.doc[at[which]])
+                for side in (0, 1):
+                    times[side] += np.bincount(place[label[document] == side], minlength=times.shape[1])
         for side in (0, 1):
             some = np.flatnonzero(times[side])
             yield pa.RecordBatch.from_arrays(
@@ -304,10 +307,11 @@ def learn_lexicon(labelled: DataFrame, channel: Channel) -> Lexicon:
     times = np.zeros((2, len(known) + 1))
     times[counts.column("label").to_numpy(), counts.column("feature").to_numpy()] = counts.column("n").to_numpy()
     clean, dirty = times[0, :-1], times[1, :-1]
-    words = np.maximum(times[:, -1], 1)
-    says = np.log((dirty + 0.5) / words[1]) - np.log((clean + 0.5) / words[0])
-    certain = says / np.sqrt(1 / (dirty + 0.5) + 1 / (clean + 0.5))
-    kept = certain > CERTAIN
+    texts = np.maximum(times[:, -1], 1)
+    says = np.log((dirty + 0.5) / (texts[1] + 1)) - np.log((clean + 0.5) / (texts[0] + 1))
+    both, share = dirty + clean, texts[1] / texts.sum()
+    certain = (dirty - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
+    kept = (certain > CERTAIN) & (says > SAYS)
     return Lexicon(known[kept], says[kept], certain[kept])
 
 
