@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.matching import any_different, match_condition
+from strata.operators.ordered import running
 
 # The metadata columns of a history table; "" marks an open version.
 EFFECTIVE_FROM = "effective_from"
@@ -88,6 +89,57 @@ def as_of(history: DataFrame, moment: str) -> DataFrame:
     return history.where(started & not_ended)
 
 
+# How much time the rows of one block span: in days for dates, in microseconds for
+# time stamps, in units for whole numbers.
+BLOCK_SPAN = {T.DateType: 31, T.TimestampType: 86_400_000_000, T.TimestampNTZType: 86_400_000_000}
+
+
+def _whole(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp"))
+    return column.cast("bigint")
+
+
+def as_of_join(
+    facts: DataFrame,
+    versions: DataFrame,
+    keys: Sequence[str],
+    fact_time: str,
+    version_time: str,
+    columns: Sequence[str],
+    until: str | None = None,
+    block_span: int | None = None,
+) -> DataFrame:
+    """Each fact with ``columns`` of the version of its key that was in force at its
+    time: the last one that began by then, unless it had ended (``until``, null while
+    it is open). Without one, or without a time, they are null. Null is a key.
+
+    Both sides are one log per key, in which the last version is carried forward. The
+    log is worked on in blocks of ``block_span``, of which later ones need a single
+    row of the earlier ones, so neither a key with very many facts nor one with very
+    many versions is a task of its own, and no pairs are made. Of versions that begin
+    together the largest by ``columns`` counts.
+    """
+    kind = versions.schema[version_time].dataType
+    span = block_span or BLOCK_SPAN.get(type(kind), 1_000_000)
+    carried = F.struct(version_time, *([until] if until else []), *columns)
+    log = facts.select(
+        *keys, F.struct(*facts.columns).alias("_fact"), (_whole(F.col(fact_time), facts.schema[fact_time].dataType) * 2 + 1).alias("_order")
+    ).unionByName(
+        versions.where(F.col(version_time).isNotNull()).select(
+            *keys, carried.alias("_version"), (_whole(F.col(version_time), kind) * 2).alias("_order")
+        ),
+        allowMissingColumns=True,
+    )
+    seen = running(log, keys, "_order", {"_seen": ("max", F.col("_version"))}, 2 * span).where(F.col("_fact").isNotNull())
+    in_force = F.lit(True)
+    if until:
+        in_force = F.coalesce(F.col("_seen")[until] > F.col("_fact")[fact_time], F.lit(True))
+    return seen.select("_fact.*", *[F.when(in_force, F.col("_seen")[c]).alias(c) for c in columns])
+
+
 def mark_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source rows as they are; target rows the source lacks, flagged deleted."""
     columns = source.columns

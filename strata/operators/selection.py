@@ -89,7 +89,7 @@ def exact_positions(
             F.min(F.when(F.col("name") == name, F.struct("_upto", "_value")))["_value"].alias(name)
             for name in wanted
         ],
-    )
+    ).where("n IS NOT NULL")
 
 
 def _near(present: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:

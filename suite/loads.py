@@ -136,6 +136,42 @@ def incremental_load(spark, sf_dir):
     return table.read().drop("ts")
 
 
+@registered(
+    "incremental_load_disorder",
+    """SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS ts, user_id, event_type,
+    CASE WHEN event_id % 7 = 0 AND event_id % 50 <> 0 THEN value + 1 ELSE value END AS value FROM events""",
+)
+def incremental_load_disorder(spark, sf_dir):
+    """The later half of the feed first; some rows without a mark; rows that come again
+    under the same mark, changed or not, and stale ones that must not replace them."""
+    feed = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    feed = feed.withColumn("ts", F.when(F.col("event_id") % 50 != 0, F.col("ts")))
+    changed = feed.withColumn("value", F.when(F.col("event_id") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    stale = feed.where("event_id % 50 <> 0").withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY")).withColumn("value", F.lit(-1.0))
+    middle = "ts >= timestamp_ntz'2024-01-15'"
+    table = fresh(spark, "disorder")
+    parts = (feed.where(middle), feed.where(f"NOT coalesce({middle}, false)"), changed.where("event_id % 50 <> 0"), stale, feed.where("ts IS NULL"))
+    for run, part in enumerate(parts):
+        strategies.incremental(table, part, ["event_id"], "ts", key=f"run-{run}")
+    return table.read()
+
+
+@registered(
+    "as_of_join",
+    """WITH v AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS since, max(o_orderpriority) AS priority FROM orders
+               WHERE o_orderstatus = 'F' GROUP BY ALL),
+    f AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders)
+    SELECT f.o_orderkey, f.o_custkey, f.day, v.priority FROM f ASOF LEFT JOIN v ON f.o_custkey = v.o_custkey AND f.day >= v.since""",
+)
+def as_of_join(spark, sf_dir):
+    """Every order with the priority its customer's last filled order had by then."""
+    orders = load(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    versions = orders.where("o_orderstatus = 'F'").groupBy("o_custkey", F.col("day").alias("since")).agg(
+        F.max("o_orderpriority").alias("priority")
+    )
+    return history.as_of_join(orders.select("o_orderkey", "o_custkey", "day"), versions, ["o_custkey"], "day", "since", ["priority"])
+
+
 # -- medallion -----------------------------------------------------------------
 
 LANDING_SQL = """landing AS (

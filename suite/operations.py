@@ -80,6 +80,18 @@ def labelled_counters(spark, sf_dir):
     return as_double(counted.select("name", label_text(F.map_from_entries("labels")).alias("labels"), "value"), "value")
 
 
+@registered(
+    "latency_summary_all",
+    """WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS spot, count(*) OVER () AS n FROM events)
+    SELECT max(n) AS n, round(avg(value), 6) AS mean, max(CASE WHEN spot = n // 2 THEN value END) AS p50,
+           max(CASE WHEN spot = (n * 99) // 100 THEN value END) AS p99 FROM r""",
+)
+def latency_summary_all(spark, sf_dir):
+    """All samples as one group, in ranges of 500 rows at most."""
+    summary = metering.latency_summary(load(spark, sf_dir, "events"), [], "value", ranked_rows=500)
+    return summary.withColumn("mean", F.round("mean", 6))
+
+
 @registered(
     "latency_summary",
     """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS spot,
@@ -205,6 +217,28 @@ QUOTA_LIMIT = 500
 KINDS = {"purchase": "QUOTA", "signup": "QUOTA", "view": "PERMISSION", "click": "SHARING"}
 
 
+@registered(
+    "quota_decisions_nulls",
+    f"""WITH r AS (SELECT event_id AS request_id, CASE WHEN user_id % 3 > 0 THEN 'T' || user_id % 3 END AS tenant, ts,
+             CASE WHEN event_id % 5 > 0 THEN 'C' || event_id % 5 END AS counterparty,
+             CASE WHEN event_type = 'purchase' THEN 'QUOTA' ELSE 'SHARING' END AS kind FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY tenant, kind ORDER BY ts, request_id) AS nth FROM r)
+    SELECT request_id, tenant, kind, CASE WHEN kind = 'SHARING' THEN
+      CASE WHEN tenant IS NULL AND (counterparty IS NULL OR counterparty = 'C1') THEN '' ELSE 'CROSS_TENANT_DENIED' END
+      WHEN nth > 20 THEN 'QUOTA_EXCEEDED' ELSE '' END AS deny_code FROM n""",
+)
+def quota_decisions_nulls(spark, sf_dir):
+    """A third of the requests name no tenant: they share a quota and an allow list."""
+    tenant = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("T"), (F.col("user_id") % 3).cast("string")))
+    other = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("C"), (F.col("event_id") % 5).cast("string")))
+    kind = F.when(F.col("event_type") == "purchase", "QUOTA").otherwise("SHARING")
+    requests = load(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), tenant.alias("tenant"), F.col("ts").alias("at"), kind.alias("kind"), other.alias("counterparty")
+    )
+    allow = spark.createDataFrame([(None, None), (None, "C1")], "tenant string, counterparty string")
+    return policy.decide(requests, allow, 20).select("request_id", "tenant", "kind", "deny_code")
+
+
 @registered(
     "quota_decisions",
     f"""WITH {TENANTS},
@@ -267,6 +301,23 @@ def share_review(spark, sf_dir):
 # -- audit chains ------------------------------------------------------------------
 
 
+@registered(
+    "audit_chain_nulls",
+    """WITH b AS (SELECT CASE WHEN user_id % 4 > 0 THEN user_id % 4 END AS chain_id, event_id AS seq,
+             CASE WHEN event_id % 3 > 0 THEN event_id // 2 END AS id FROM events),
+    m AS (SELECT *, row_number() OVER (PARTITION BY chain_id, id ORDER BY seq) > 1 AS repeated FROM b)
+    SELECT chain_id, seq, id, CASE WHEN repeated THEN 'DUPLICATE' ELSE 'COMMITTED' END AS status FROM m""",
+)
+def audit_chain_nulls(spark, sf_dir):
+    """Records without an id or a chain get a verdict too; the links all hold."""
+    chain = F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 4)
+    name = F.when(F.col("event_id") % 3 > 0, F.floor(F.col("event_id") / 2))
+    batch = load(spark, sf_dir, "events").select(
+        chain.alias("chain_id"), F.col("event_id").alias("seq"), name.alias("id"), F.lit("").alias("prev_hash"), F.lit("").alias("record_hash")
+    )
+    return audit.verify_chain(batch)
+
+
 @registered(
     "audit_chain_verify",
     """WITH h AS (SELECT *, sha256('["' || event_id || '","' || user_id || '","' || event_type || '"]') AS record_hash FROM events),
@@ -347,6 +398,22 @@ def changelog_number(spark, sf_dir):
     return changelog.number_changes(changes, "event_id")
 
 
+@registered(
+    "create_if_absent_nulls",
+    """WITH k AS (SELECT event_id AS seq, event_type, CASE WHEN user_id % 5 > 0 THEN 'k' || user_id END AS key FROM events),
+    state AS (SELECT key, max(seq) AS revision FROM k WHERE event_type = 'signup' AND key IS NOT NULL GROUP BY key),
+    r AS (SELECT seq, key, min(seq) OVER (PARTITION BY key) AS first_seq FROM k WHERE event_type <> 'signup')
+    SELECT seq, r.key, revision IS NULL AND seq = first_seq AS created, coalesce(revision, first_seq) AS revision
+    FROM r LEFT JOIN state ON r.key = state.key""",
+)
+def create_if_absent_nulls(spark, sf_dir):
+    """A fifth of the requests are for the null key, which the first of them creates."""
+    key = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("k"), F.col("user_id").cast("string")))
+    keyed = load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type", key.alias("key"))
+    held = keyed.where("event_type = 'signup' AND key IS NOT NULL").groupBy("key").agg(F.max("seq").alias("revision"))
+    return changelog.create_if_absent(keyed.where("event_type <> 'signup'").drop("event_type"), held)
+
+
 @registered(
     "create_if_absent",
     """WITH k AS (SELECT event_id + 1 AS seq, event_type, 'user/' || user_id || '/' || json_extract_string(props, '$.k') AS key FROM events),

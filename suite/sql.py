@@ -116,6 +116,15 @@ sql_query(
     "events",
 )
 
+sql_query(
+    "sql_percentiles_exact",
+    """SELECT event_type, round(percentile(value, 0.5), 6) AS middle, round(percentile(value, 0.99), 6) AS high,
+    percentile_disc(0.25) WITHIN GROUP (ORDER BY value) AS low FROM events GROUP BY event_type""",
+    "events",
+    """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS middle, round(quantile_cont(value, 0.99), 6) AS high,
+    quantile_disc(value, 0.25) AS low FROM events GROUP BY event_type""",
+)
+
 APPROXIMATE = """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts,
     abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.2 * count(DISTINCT l_partkey) AS near,
     abs({median} - {exact}) <= 2 AS middle FROM lineitem GROUP BY l_returnflag"""

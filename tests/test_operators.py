@@ -356,3 +356,32 @@ def test_work_unit(spark, folder):
     failed = run_work(spark.range(10), fail, "v bigint", table)
     assert not failed.ok and failed.rows is None and "worker says no" in failed.error
     assert table.read().count() == 10
+
+
+def test_order_statistics_of_odd_numbers(spark):
+    """NaN, infinities, the ends of bigint, no group and no rows."""
+    inf, nan = float("inf"), float("nan")
+    odd = [1.0, nan, inf, -inf, 2.0, nan, inf, -inf, 3.0, 1e308, -1e308, 5e-324] * 10
+    place = lambda data, a, b: sorted(data, key=lambda x: (x != x, x))[len(data) * a // b]
+    for data, kind in ((odd, "double"), ([-(2**63), 2**63 - 1, 0, 1, 2**62] * 12, "bigint"), ([7] * 50, "int"), ([nan] * 40, "double")):
+        frame = spark.createDataFrame([(v,) for v in data], f"v {kind}")
+        (row,) = selection.exact_positions(frame, [], "v", {"p50": (1, 2), "p90": (9, 10)}, ranked_rows=5).collect()
+        assert row["n"] == len(data) and repr((row["p50"], row["p90"])) == repr((place(data, 1, 2), place(data, 9, 10)))
+    assert selection.exact_positions(spark.createDataFrame([], "v double"), [], "v", {"p50": (1, 2)}).count() == 0
+
+
+def test_as_of_join(spark):
+    facts = [("a", 5, 1), ("a", 10, 2), ("a", 30, 3), ("b", 1, 4), (None, 7, 5), ("a", None, 6), ("a", 10, 7)]
+    versions = [("a", 10, 20, "x"), ("a", 25, None, "y"), (None, 7, None, "n"), ("a", None, None, "never"), ("a", 10, 20, "w")]
+    joined = history.as_of_join(
+        spark.createDataFrame(facts, "k string, at long, id int"),
+        spark.createDataFrame(versions, "k string, since long, till long, v string"),
+        ["k"], "at", "since", ["v"], until="till", block_span=4,
+    )
+    assert dict(as_set(joined, "id", "v")) == {1: None, 2: "x", 3: "y", 4: None, 5: "n", 6: None, 7: "x"}
+    ended = history.as_of_join(
+        spark.createDataFrame([("a", 22, 1)], "k string, at long, id int"),
+        spark.createDataFrame(versions, "k string, since long, till long, v string"),
+        ["k"], "at", "since", ["v"], until="till", block_span=4,
+    )
+    assert as_set(ended, "v") == [(None,)]
