@@ -45,7 +45,7 @@ FLUSH_SIGNATURES = 1 << 20
 BUCKET_SIGNATURES = 1 << 19
 SPARE = 5  # segments a set uses beyond what it needs
 CROWD = 32  # pairs a signature may make for each of its sets
-ROUNDS = 6  # of comparing with one set per signature, before all pairs are made
+ROUNDS = 4  # of comparing with one set per signature, before all pairs are made
 MEMBERS = 2000  # sets compared with one leader in one task
 FILTER_BITS = 1 << 24
 _U = np.uint64
@@ -282,13 +282,13 @@ def _classes(rows: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
     facts = nodes.groupBy(F.col("first").alias("doc")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("margin").alias("margin")
     )
-    shared = met.join(members, "doc").select("sign", F.col("first").alias("doc")).distinct()
-    shared = written(_promising(_promising(shared.join(facts, "doc"))), "shared")
+    shared = written(met.join(members, "doc").select("sign", F.col("first").alias("doc")).distinct(), "met")
+    shared = written(_promising(shared, facts), "shared")
     texts = written(_texts(rows, shared.select(F.col("doc").alias("wanted"))), "texts")
     links, judged = _stars(texts, shared)
 
     # what each signature would make of the classes that are left
-    open_ = written(_open(_with_classes(shared, links)), "open")
+    open_ = written(_several(_with_classes(shared, links), "class"), "open")
     left = open_.groupBy("sign", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("sign").agg(
         F.sum("m").alias("sets"), F.sum(F.col("m") * F.col("m")).alias("squares")
     )
@@ -307,7 +307,7 @@ def _classes(rows: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
     short = spare.where("spare < 0")
     if short.limit(2).count() > 1:
         near = _with_classes(_neighbourhood_rows(texts, short), links)
-        pairs = _pairs_of(_open(near)).select("a", "b").join(judged, ["a", "b"], "left_anti")
+        pairs = _pairs_of(_several(near, "class")).select("a", "b").join(judged, ["a", "b"], "left_anti")
         links = links.union(_verified(texts, written(pairs, "pairs")))
     found = components(links).withColumnRenamed("component", "class")
     return members.join(found, members["first"] == found["node"], "left").select(
@@ -315,19 +315,18 @@ def _classes(rows: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _promising(shared: DataFrame) -> DataFrame:
+def _promising(met: DataFrame, facts: DataFrame) -> DataFrame:
     """Without the sets that share no more signatures than they have to spare (two
     similar sets share more), and without signatures that only one set has then."""
-    counts = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("signs"))
-    kept = shared.join(counts, "doc").where(F.col("signs") > F.col("margin")).drop("signs")
-    several = kept.groupBy("sign").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).where("_a < _z").select("sign")
-    return kept.join(several, "sign")
+    counts = met.groupBy("doc").agg(F.count(F.lit(1)).alias("signs"))
+    likely = counts.join(facts, "doc").where(F.col("signs") > F.col("margin")).drop("signs")
+    return _several(met.join(written(likely, "likely"), "doc"), "doc")
 
 
-def _open(classed: DataFrame) -> DataFrame:
-    """The rows of signatures with several classes."""
-    several = classed.groupBy("sign").agg(F.min("class").alias("_a"), F.max("class").alias("_z")).where("_a < _z")
-    return classed.join(several.select("sign"), "sign")
+def _several(rows: DataFrame, by: str) -> DataFrame:
+    """The rows of signatures under which there are several of ``by``."""
+    ends = rows.groupBy("sign").agg(F.min(by).alias("_a"), F.max(by).alias("_z")).where("_a < _z")
+    return rows.join(ends.select("sign"), "sign")
 
 
 def _stars(texts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,8 +336,9 @@ def _stars(texts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     hash of its id. This finds most links, the rest is left to the pairs."""
     spark = shared.sparkSession
     links = judged = spark.createDataFrame([], "a long, b long")
+    classes = spark.createDataFrame([], "doc long, class long")
     for number in range(ROUNDS):
-        open_ = _open(_with_classes(shared, links)) if number else shared.withColumn("class", F.col("doc"))
+        open_ = shared.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
         order = F.struct(F.xxhash64(F.lit(number), "doc") if number else F.lit(0).cast("long"), "doc", "class", "low", "high", "margin")
         leaders = open_.groupBy("sign").agg(F.min(order).alias("l"))
         met = open_.join(leaders, "sign").where(F.col("class") != F.col("l.class"))
@@ -357,9 +357,23 @@ def _stars(texts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
         judged = written(judged.union(fresh.select(F.col("_x").alias("a"), F.col("_y").alias("b"))), "judged")
         if 50 * new.count() < asked:
             break
+        classes = written(_joined_classes(classes, new), "classes")
     return links, judged
 
 
+def _joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, class) once every class has gone over to the smallest it is linked with.
+    One step only: chains of classes are left for later."""
+    linked_ = links.select(F.col("a").alias("doc")).union(links.select(F.col("b").alias("doc"))).distinct()
+    known = classes.union(linked_.join(classes, "doc", "left_anti").select("doc", F.col("doc").alias("class")))
+    known = written(known, "known")
+    ends = links.join(known.select(F.col("doc").alias("a"), F.col("class").alias("_x")), "a").join(
+        known.select(F.col("doc").alias("b"), F.col("class").alias("_y")), "b"
+    )
+    moves = ends.where("_x <> _y").groupBy(F.greatest("_x", "_y").alias("class")).agg(F.min(F.least("_x", "_y")).alias("_to"))
+    return known.join(moves, "class", "left").select("doc", F.coalesce("_to", "class").alias("class"))
+
+
 def _with_classes(shared: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).select(F.col("node").alias("doc"), F.col("component").alias("class"))
     return shared.join(found, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
