@@ -129,7 +129,25 @@ def digests(made: DataFrame) -> DataFrame:
 _SAID = "</s>[INST] ok [/INST]"
 
 
-@registered("op9_chat_formatting")
+# A written turn has 10 characters around its role and text, each escape one more.
+_LENGTH = "length({0}) + length(regexp_replace({0}, '[^\\\\<\\[\\]]', '', 'g'))"
+
+
+@registered(
+    "op9_chat_formatting",
+    f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, turn, role, '{_SAID}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+t AS (SELECT *, row_number() OVER o AS n, count(*) OVER (PARTITION BY conv_id) AS turns,
+        sum(10 + {_LENGTH.format("role")} + {_LENGTH.format("text")}) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+    FROM said WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(upto) FILTER (role = 'assistant' OR n = turns) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+)
 def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, read back from
     their examples."""

@@ -476,7 +476,20 @@ def similar(one: np.ndarray, other: np.ndarray) -> bool:
     return 9 * int((one[at] == other).sum()) >= 4 * total
 
 
-@registered("op10_jaccard_join")
+@registered(
+    "op10_jaccard_join",
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS t
+    FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reached JOIN links ON a = other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY ALL
+""",
+)
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five words, similarity 0.8."""
     return linked(load(spark, sf_dir, "documents"))
