@@ -55,6 +55,9 @@ AS_READ, ONE, TWO, HALVED = 1.0, 0.5, 0.8, 2.0
 LEFT_OUT, AT_EDGE = 12.0, 1.0  # signs at a token's edge are often punctuation
 OTHER, GAP = 0x80, 0x20  # letters beyond a-z, and what is between words
 
+_KNOWN = np.array([*range(ord("a"), ord("z") + 1), OTHER, GAP], dtype=np.uint32)
+_PLACE = np.zeros(256, dtype=np.int64)
+_PLACE[_KNOWN] = np.arange(len(_KNOWN))
 _LOOK_BYTES = np.zeros(256, dtype=bool)
 _LOOK_BYTES[[ord(c) for c in LOOKS if ord(c) < 128]] = True
 _MARK_BYTES = np.zeros(256, dtype=bool)
@@ -77,20 +80,21 @@ def character_model(documents: DataFrame) -> np.ndarray:
     """Log probability of a symbol after two others, as a cube over all symbols."""
 
     def count(batches):
-        counts = np.zeros(1 << 24, dtype=np.int64)
+        counts = np.zeros(len(_KNOWN) ** 3, dtype=np.int64)
         for batch in slices(batches):
             data, _ = utf8(pa.array([(t or "").lower() + " " for t in batch.column("text").to_pylist()], pa.string()))
-            wide = _symbols(data).astype(np.uint32)
-            if len(wide) > 2:
-                codes, times = np.unique((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:], return_counts=True)
-                counts[codes] += times
+            place = _PLACE[_symbols(data)]
+            if len(place) > 2:
+                codes = (place[:-2] * len(_KNOWN) + place[1:-1]) * len(_KNOWN) + place[2:]
+                counts += np.bincount(codes, minlength=len(counts))
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["gram", "n"])
+        first, second, third = (_KNOWN[x].astype(np.int64) for x in np.unravel_index(some, (len(_KNOWN),) * 3))
+        grams = (first << 16) | (second << 8) | third
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts[some])], ["gram", "n"])
 
     table = documents.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     model = KneserNey(table.column("gram").to_numpy().astype(np.uint32), table.column("n").to_numpy())
-    known = np.array([*range(ord("a"), ord("z") + 1), OTHER, GAP], dtype=np.uint32)
-    first, second, third = np.meshgrid(known, known, known, indexing="ij")
+    first, second, third = np.meshgrid(_KNOWN, _KNOWN, _KNOWN, indexing="ij")
     grams = ((first << 16) | (second << 8) | third).astype(np.uint32)
     return model.log(grams.ravel()).reshape(grams.shape)
 
