@@ -193,6 +193,56 @@ def delete_insert(spark, sf_dir):
     return table.read()
 
 
+# -- whole rows: every column of the feed, time stamps included ---------------------
+
+
+def moved(spark, sf_dir):
+    """Purchases a day later."""
+    bought = load(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return bought.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+
+
+MOVED = "SELECT * REPLACE (ts + INTERVAL 1 DAY AS ts) FROM events WHERE event_type = 'purchase'"
+
+
+@registered("append_events", f"SELECT * FROM events UNION ALL {MOVED}")
+def append_events(spark, sf_dir):
+    table = fresh(spark, "events")
+    for key, rows in (("first", load(spark, sf_dir, "events")), ("second", moved(spark, sf_dir)), ("second", moved(spark, sf_dir))):
+        table.append(rows, key=key)
+    return table.read()
+
+
+@registered("merge_events", f"SELECT * FROM events WHERE event_type <> 'purchase' UNION ALL {MOVED}")
+def merge_events(spark, sf_dir):
+    table = fresh(spark, "events")
+    table.append(load(spark, sf_dir, "events"))
+    table.merge(moved(spark, sf_dir).unionByName(load(spark, sf_dir, "events").where("event_type = 'purchase'")), ["event_id"], order_by="ts")
+    return table.read()
+
+
+@registered("overwrite_events", MOVED)
+def overwrite_events(spark, sf_dir):
+    table = fresh(spark, "events", partition_by=("event_type",))
+    table.append(load(spark, sf_dir, "events"))
+    table.overwrite(moved(spark, sf_dir))
+    return table.read()
+
+
+@registered(
+    "delete_insert_lines",
+    """SELECT * REPLACE (-l_quantity AS l_quantity) FROM lineitem WHERE l_returnflag = 'R' UNION ALL
+    SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
+)
+def delete_insert_lines(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem")
+    returned = lines.where("l_returnflag = 'R'").withColumn("l_quantity", -F.col("l_quantity"))
+    table = fresh(spark, "lines")
+    table.append(lines)
+    strategies.delete_insert(table, returned, ["l_orderkey"], key="returns")
+    return table.read()
+
+
 @registered(
     "ctas_summary",
     """SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
