@@ -13,7 +13,8 @@ the spare segments it has, which is its margin. Only two sets that have both spe
 more than their margin can miss each other. They meet a second time on half as many
 segments, each with its one-deletion neighbourhood (the signatures with one element
 left out), which finds segments that differ in one element; there every signature
-is used, and sets that still have too few share one of their own.
+is used, and sets that still have too few share one of their own. Before that, sets
+go whose elements rule out that any other one is similar.
 
 Work is kept linear. Equal sets inside a slice of the input travel once, and are one
 set once they have met. Sets that share too few signatures to be similar to any are
@@ -27,6 +28,7 @@ looked at.
 
 from __future__ import annotations
 
+import bisect
 import math
 from functools import cache
 
@@ -306,6 +308,7 @@ def _classes(rows: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
 
     short = spare.where("spare < 0")
     if short.limit(2).count() > 1:
+        short = _with_company(texts, short)
         near = _with_classes(_neighbourhood_rows(texts, short), links)
         pairs = _pairs_of(_several(near, "class")).select("a", "b").join(judged, ["a", "b"], "left_anti")
         links = links.union(_verified(texts, written(pairs, "pairs")))
@@ -383,14 +386,84 @@ def _pairs_of(shared: DataFrame) -> DataFrame:
     """Pairs of different classes under each signature: (a, b), the smaller id first,
     of sizes that can be similar; how many signatures they share, and the larger of
     what the two have to spare."""
-    left = shared.select("sign", *[F.col(c).alias(f"_{c}") for c in ("doc", "class", "low", "high", "spare")])
+    held = [c for c in ("doc", "class", "low", "high", "spare", "kind", "open") if c in shared.columns]
+    left = shared.select("sign", *[F.col(c).alias(f"_{c}") for c in held])
     fits = (5 * F.col("_high") >= 4 * F.col("low")) & (5 * F.col("high") >= 4 * F.col("_low"))
+    if "open" in held:
+        fits = fits & F.array_contains("open", F.col("_kind")) & F.array_contains("_open", F.col("kind"))
     made = left.join(shared, "sign").where((F.col("_doc") < F.col("doc")) & (F.col("_class") != F.col("class")) & fits)
     return made.groupBy(F.col("_doc").alias("a"), F.col("doc").alias("b")).agg(
         F.count(F.lit(1)).alias("common"), F.max(F.greatest("_spare", "spare")).alias("spare")
     )
 
 
+KIND = 1.02  # sizes of one kind differ by that factor at most
+KINDS = sorted({int(KIND**k) for k in range(1, 1100)})
+
+
+def _with_company(texts: DataFrame, short: DataFrame) -> DataFrame:
+    """Those of the sets that can be similar to another one at all, with their ``kind``
+    of size and the kinds that are ``open`` to them. A set of n elements is similar to
+    one of m only if 4/9 of n + m of its elements are in sets of that kind, so elements
+    that no other set has rule out whole kinds, most often all of them. Elements travel
+    packed, and each bucket sends back numbers."""
+    if not short.where("low <> high").isEmpty():  # ids that several texts share
+        return short
+    total = short.agg(F.sum("low")).first()[0]
+    buckets = max(16, total // (1 << 16))
+
+    def send(batches):
+        elements, owners, kinds, waiting = [], [], [], 0
+        for batch in slices(batches):
+            for name, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
+                elements.append(found)
+                owners.append(np.full(len(found), name, dtype=np.int64))
+                kinds.append(np.full(len(found), _kind(len(found)), dtype=np.int32))
+                waiting += len(found)
+            if waiting > FLUSH_SIGNATURES:
+                yield _packed(buckets, *map(np.concatenate, (elements, owners, kinds)))
+                elements, owners, kinds, waiting = [], [], [], 0
+        if waiting:
+            yield _packed(buckets, *map(np.concatenate, (elements, owners, kinds)))
+
+    wanted = texts.join(short.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    met = wanted.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(_company, "doc long, kind int, n long")
+    counts = met.groupBy("doc", F.col("kind").alias("other")).agg(F.sum("n").alias("n")).join(short, "doc")
+    steps = F.array(*map(F.lit, KINDS))
+    likely = counts.where(9 * F.col("n") >= 4 * (F.col("low") + F.element_at(steps, F.col("other") + 1)))
+    kept = likely.groupBy("doc").agg(F.collect_set("other").alias("open")).join(short, "doc")
+    return written(kept.withColumn("kind", F.size(F.filter(steps, lambda step: step <= F.col("low"))) - 1), "company")
+
+
+def _kind(size: int) -> int:
+    return bisect.bisect_right(KINDS, size) - 1
+
+
+def _packed(buckets: int, elements: np.ndarray, owners: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+    bucket = (mix(elements) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+    blobs = [pack(elements[part], owners[part], kinds[part]) for part in parts]
+    numbers = [int(bucket[part[0]]) for part in parts]
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _company(table: pa.Table) -> pa.Table:
+    """For each set and kind, how many of its elements are in another set of the kind."""
+    parts = [unpack(blob.as_py(), _U, np.int64, np.int32) for blob in table.column("blob")]
+    element, owner, kind = (np.concatenate(x) for x in zip(*parts))
+    pairs = np.stack([element, kind.astype(_U)])
+    pairs, sets = np.unique(pairs, axis=1, return_counts=True)
+    begin = np.searchsorted(pairs[0], element, "left")
+    count = np.searchsorted(pairs[0], element, "right") - begin
+    row = np.repeat(np.arange(len(element)), count)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[row]
+    other = pairs[1][at].astype(np.int32)
+    company = (other != kind[row]) | (sets[at] > 1)
+    met, times = np.unique(np.stack([owner[row[company]], other[company].astype(np.int64)]), axis=1, return_counts=True)
+    return pa.Table.from_arrays([pa.array(met[0]), pa.array(met[1].astype(np.int32)), pa.array(times)], ["doc", "kind", "n"])
+
+
 def _neighbourhood_rows(texts: DataFrame, short: DataFrame) -> DataFrame:
     def make(batches):
         for batch in slices(batches):
