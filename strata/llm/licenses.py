@@ -1,22 +1,28 @@
 """License notices in texts, by patience alignment with templates.
 
-Both sides are words (lower-cased letters and digits). Around each place where a
-template's opening words stand, a region of twice the template's length is aligned:
-words that are unique in both are anchors, the longest increasing run of them is
-kept, and the gaps between are aligned in the same way, down to gaps without an
-anchor, which are small enough for the longest common subsequence or contribute
-nothing. Coverage is the share of the template's words that are matched.
+Both sides are words (lower-cased letters and digits). A notice begins with a word
+of the template so near its front that enough words are left after it; from each such
+place of the text the longest common subsequence with the template is measured, up to
+twice the template's length and at every end. Regions that have too few of the
+template's words in whatever order are left out before. The end is where matched words
+most outweigh the others. Regions that stay are aligned: words that are unique in both
+are anchors, the longest increasing run of them is kept, and the gaps between are
+aligned in the same way, down to gaps without an anchor, which are aligned in full if
+they are small; where that matches fewer words than can be, the region is aligned in
+full. Coverage is the share of the template's words that are matched.
 
 A notice is reported if its coverage reaches ``COVERAGE``; where notices overlap the
-one with more matched words stays, ties going to the earlier and then to the name
-first in order. Null and empty texts have none. Rows are looked at one by one; other
+one with more matched words stays, ties going to the shorter, the earlier and then to
+the name first in order. Null and empty texts have none. Rows are looked at one by one; other
 columns are not looked at. Texts are worked on where they are, nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +32,6 @@ from strata.llm.registry import load, registered
 from strata.llm.tokens import slices
 
 COVERAGE = 0.8
-OPENING = 3  # words, of which two have to stand in a row
 SMALL = 4096  # cells of a gap that is aligned in full
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -134,41 +139,81 @@ def _common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     return found
 
 
+class Template:
+    """A template's words, and how many of them make a notice."""
+
+    def __init__(self, words: list[str], coverage: float):
+        self.words = words
+        self.need = max(1, math.ceil(coverage * len(words) - 1e-9))
+        self.times = Counter(words)
+        self.least = len(self.times) - (len(words) - self.need)  # different words a text with a notice has
+        self.front = set(words[: len(words) - self.need + 1])
+        self.places = {word: sum(1 << i for i, w in enumerate(words) if w == word) for word in self.times}
+
+    def starts(self, words: list[str]) -> list[int]:
+        """Places where a notice can begin: words of the template's front with enough
+        of its words, in whatever order, in the region that follows."""
+        reach, found = 2 * len(self.words), []
+        held = dict.fromkeys(self.times, 0)
+        common = end = 0
+        for start, word in enumerate(words):
+            while end < min(start + reach, len(words)):
+                if words[end] in held:
+                    held[words[end]] += 1
+                    common += held[words[end]] <= self.times[words[end]]
+                end += 1
+            if common >= self.need and word in self.front:
+                found.append(start)
+            if word in held:
+                common -= held[word] <= self.times[word]
+                held[word] -= 1
+        return found
+
+    def best(self, words: list[str], start: int) -> tuple[int, int]:
+        """(matched words, end) of the notice that begins there, (0, start) without one.
+        The longest common subsequence, a row of its table at a time as bits."""
+        whole = (1 << len(self.words)) - 1
+        rows, matched, best = whole, 0, (0, 0, start)
+        for end in range(start, min(start + 2 * len(self.words), len(words))):
+            place = self.places.get(words[end])
+            if place is None:
+                continue
+            met = rows & place
+            rows = ((rows + met) | (rows - met)) & whole
+            now = len(self.words) - rows.bit_count()
+            if now > matched:
+                matched = now
+                worth = 2 * matched - (end + 1 - start)
+                if matched >= self.need and (not best[1] or worth >= best[0]):
+                    best = worth, matched, end + 1
+        return best[1:]
+
+
 class Templates:
     def __init__(self, texts: dict[str, str], coverage: float):
-        self.words = {name: words_of(text) for name, text in sorted(texts.items())}
-        self.coverage = coverage
-        # the pairs of words that a template begins with lead to it
-        self.leads: dict[tuple[str, str], list[tuple[str, int]]] = {}
-        for name, words in self.words.items():
-            for i in range(min(OPENING, len(words)) - 1):
-                self.leads.setdefault((words[i], words[i + 1]), []).append((name, i))
-        self.seen = {first for first, _ in self.leads}
+        made = {name: words_of(text) for name, text in sorted(texts.items())}
+        self.all = {name: Template(words, coverage) for name, words in made.items() if words}
 
     def notices(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first word, end, license, coverage) in order; none overlap."""
         words = words_of(text)
-        regions: dict[str, set[int]] = {}
-        for at in range(len(words) - 1):
-            if words[at] in self.seen:
-                for name, offset in self.leads.get((words[at], words[at + 1]), ()):
-                    regions.setdefault(name, set()).add(max(0, at - offset))
+        there = set(words)
         found = []
-        for name, starts in regions.items():
-            template = self.words[name]
-            ordered = sorted(starts)
-            for start, after in zip(ordered, [*ordered[1:], len(words)]):
-                # up to where the template begins again, if that is further than its opening
-                end = start + 2 * len(template)
-                if after > start + OPENING:
-                    end = min(end, after)
-                matched = aligned(template, words[start:end])
-                if len(matched) >= self.coverage * len(template):
-                    found.append((len(matched), start + matched[0][1], start + matched[-1][1] + 1, name))
+        for name, template in self.all.items():
+            if len(template.times.keys() & there) < template.least:
+                continue
+            for start in template.starts(words):
+                matched, end = template.best(words, start)
+                if matched:
+                    found.append((matched, start, end, name))
         kept: list[tuple[int, int, str, float]] = []
-        for n, start, end, name in sorted(found, key=lambda f: (-f[0], f[1], f[3])):
+        for n, start, end, name in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1], f[3])):
             if all(end <= a or start >= b for a, b, _, _ in kept):
-                kept.append((start, end, name, n / len(self.words[name])))
+                template = self.all[name].words
+                matched = aligned(template, words[start:end])
+                if len(matched) < n:
+                    matched = _common(template, words[start:end])
+                kept.append((start + matched[0][1], start + matched[-1][1] + 1, name, len(matched) / len(template)))
         return sorted(kept)
 
 

@@ -326,3 +326,33 @@ def test_notices(spark):
     found = {r["doc_id"]: [n["license"] for n in r["notices"]] for r in licenses.scanned(frame).collect()}
     assert [found[i] for i in range(9)] == [["MIT", "CC-BY-NC-4.0"], ["MIT-notice"], ["MIT-notice"], [], [], [], ["MIT"] * 3, ["All-rights-reserved"], []]
     assert licenses.scanned(no_documents(spark)).count() == 0
+
+
+def longest(left, right):
+    row = [0] * (len(right) + 1)
+    for a in left:
+        row, before = [0], row
+        for j, b in enumerate(right):
+            row.append(before[j] + 1 if a == b else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_notices_whatever_part_is_damaged(name):
+    """Verbatim, without the opening, with other words there, and with holes: found if
+    some region of the text reaches the coverage in full alignment, and only then."""
+    known = licenses.Templates(licenses.TEMPLATES, licenses.COVERAGE)
+    template = licenses.words_of(licenses.TEMPLATES[name])
+    tenth, filler = len(template) // 10, ["zebra"] * 7
+    texts = [
+        template, template[tenth:], ["other"] * tenth + template[tenth:], template[2 * tenth + 1 :], template[3 * tenth + 1 :],
+        [w for i, w in enumerate(template) if i % 9 != 1], template[:tenth] + filler + template[tenth:], template[: len(template) // 2],
+    ]
+    for words in texts:
+        words = filler + words + filler
+        most = max(longest(template, words[i : i + 2 * len(template)]) for i in range(len(words)))
+        found = [(c, words[a], words[b - 1]) for a, b, n, c in known.notices(" ".join(words)) if n == name]
+        assert bool(found) == (most >= licenses.COVERAGE * len(template))
+        assert all(abs(c - most / len(template)) < 1e-9 and "zebra" not in ends for c, *ends in found)
+    twice = [w for i, w in enumerate(template) if i % 9 != 1 or len(template) < 9] * 2
+    assert [n for _, _, n, _ in known.notices(" ".join(twice))] == [name] * 2
