@@ -1,15 +1,18 @@
 """Quality rules: text statistics, and perplexity bands for each language.
 
-The language model is a modified Kneser-Ney trigram over UTF-8 bytes, one for each
-value of ``lang`` (null counts as empty), counted by Spark over all documents. It has at
-most 2**24 trigrams a language, whatever the corpus; it is kept as sorted arrays of
-packed trigrams that are looked up by binary search, and goes to the tasks in
+Word choice and word order are judged by modified Kneser-Ney trigrams over words, which
+grow with the input (``wordmodel``); spelling and signs by such a model over UTF-8
+bytes, one for each value of ``lang`` (null counts as empty), counted by Spark over all
+documents. The latter has at most 2**24 trigrams a language; it is kept as sorted arrays
+of packed trigrams that are looked up by binary search, and goes to the tasks in
 blocks of at most ``block_grams`` trigrams or one language, one pass for each.
 
-A document's score is its mean negative log probability per byte. The band of a
-language is its median, give or take ``spread`` robust deviations (at least
-``least`` nats), over the documents that pass the base rules. Medians are exact:
-scores are rounded to 1/1000 and counted.
+A document's scores are its mean negative log probability per byte, and per word under
+the other documents. The byte band of a language is its median, give or take ``spread``
+robust deviations (at least ``least`` nats), over the documents that pass the base
+rules; the word band likewise, with ``WORD_SPREAD`` and ``WORD_LEAST``, but has no lower
+end: a document is only too likely there if others are like it, which is no fault of
+the one that stays. Medians are exact: scores are rounded to 1/1000 and counted.
 
 Null and empty texts have no words and fail the base rule. Repeated rows count as
 often as they are there; other columns are not looked at.
@@ -24,12 +27,16 @@ from pyspark.sql import functions as F
 
 from strata.llm.registry import load, registered, written
 from strata.llm.tokens import Words, byte_hashes, byte_sums, mix, slices
+from strata.llm.wordmodel import sequences, word_scores
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 REPEATED = 3
 SPREAD = 6.0
 LEAST = 0.12
+# chosen by the labels that are not held out
+WORD_SPREAD = 2.0
+WORD_LEAST = 0.5
 BLOCK_GRAMS = 1 << 24
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -201,7 +208,8 @@ def _discounted(counts: np.ndarray, each: bool = False):
 
 def scored(documents: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The documents, all columns, with ``__measured``: base counts and the mean
-    negative log probability per byte (null under three bytes)."""
+    negative log probability per byte (null under three bytes) and per word (null
+    without words)."""
     counts = written(trigram_counts(documents), "trigrams")
     sizes = sorted(tuple(r) for r in counts.groupBy("lang").agg(F.count(F.lit(1))).collect())
     blocks: list[list[str]] = [[]]
@@ -222,7 +230,10 @@ def scored(documents: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     made = results[0]
     for more in results[1:]:
         made = made.union(more)
-    return made
+    found = word_scores(documents).select(F.col("key").alias("__key"), F.col("score").alias("__words"))
+    made = made.join(found, F.col("__measured.key") == F.col("__key"), "left")
+    measured = F.col("__measured").dropFields("key").withField("word_score", F.col("__words"))
+    return made.withColumn("__measured", measured).drop("__key", "__words")
 
 
 def _models(counts: DataFrame) -> dict[str, KneserNey]:
@@ -235,7 +246,7 @@ def _models(counts: DataFrame) -> dict[str, KneserNey]:
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_MEASURED = "struct<" + ", ".join(f"{c}: long" for c in _COUNTS) + ", score: double, lang: string>"
+_MEASURED = "struct<" + ", ".join(f"{c}: long" for c in _COUNTS) + ", score: double, lang: string, key: long>"
 
 
 def _measured(documents: DataFrame, models: dict) -> DataFrame:
@@ -249,8 +260,9 @@ def _measured(documents: DataFrame, models: dict) -> DataFrame:
             names = batch.column("lang").cast(pa.string()).fill_null("")
             counts = base_counts(text)
             scores = [_score(models.get(name), t) for name, t in zip(names.to_pylist(), text.to_pylist())]
-            fields = [pa.array(counts[c]) for c in _COUNTS] + [pa.array(scores, pa.float64()), names]
-            made = pa.StructArray.from_arrays(fields, [*_COUNTS, "score", "lang"])
+            keys = sequences(text, names.to_pylist())[3]
+            fields = [pa.array(counts[c]) for c in _COUNTS] + [pa.array(scores, pa.float64()), names, pa.array(keys.view(np.int64))]
+            made = pa.StructArray.from_arrays(fields, [*_COUNTS, "score", "lang", "key"])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], made], [*columns, "__measured"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[f"`{c}`" for c in columns]).schema)
@@ -270,13 +282,23 @@ def base_failed(n_words, n_repeat_words):
 
 
 def bands(measured: DataFrame, spread: float = SPREAD, least: float = LEAST) -> DataFrame:
-    """(lang, low, high) from the ``__measured`` of documents that pass the base rules."""
+    """(lang, low, high, word_high) from the ``__measured`` of documents that pass the
+    base rules."""
+    m = F.col("__measured")
+    good = measured.where(~base_failed(m["n_words"], m["n_repeat_words"]))
+    letters = _band(good, "score", spread, least)
+    words = _band(good, "word_score", WORD_SPREAD, WORD_LEAST).select(F.col("lang").alias("_lang"), F.col("high").alias("word_high"))
+    both = letters.join(words, letters["lang"] == words["_lang"], "left").drop("_lang")
+    return written(both, "bands")
+
+
+def _band(measured: DataFrame, score: str, spread: float, least: float) -> DataFrame:
+    """(lang, low, high): the median, give or take."""
     m = F.col("__measured")
-    good = measured.where(~base_failed(m["n_words"], m["n_repeat_words"]) & m["score"].isNotNull())
     counted = written(
-        good.groupBy(m["lang"].alias("lang"), F.round(m["score"] * 1000).cast("int").alias("score")).agg(
-            F.count(F.lit(1)).alias("n")
-        ),
+        measured.where(m[score].isNotNull())
+        .groupBy(m["lang"].alias("lang"), F.round(m[score] * 1000).cast("int").alias("score"))
+        .agg(F.count(F.lit(1)).alias("n")),
         "scores",
     )
     middle = counted.groupBy("lang").agg(F.percentile("score", 0.5, F.col("n")).alias("middle"))
@@ -285,16 +307,14 @@ def bands(measured: DataFrame, spread: float = SPREAD, least: float = LEAST) ->
     )
     wide = away.groupBy("lang", "middle").agg(F.percentile("away", 0.5, F.col("n")).alias("away"))
     half = F.greatest(F.lit(least), F.lit(spread * 1.4826) * F.col("away") / 1000)
-    return written(
-        wide.select("lang", (F.col("middle") / 1000 - half).alias("low"), (F.col("middle") / 1000 + half).alias("high")), "bands"
-    )
+    return wide.select("lang", (F.col("middle") / 1000 - half).alias("low"), (F.col("middle") / 1000 + half).alias("high"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """The rows with ``__kept``: base rules passed and the score inside the band."""
+    """The rows with ``__kept``: base rules passed and the scores inside their bands."""
     m = F.col("__measured")
-    limits = limits.select(F.col("lang").alias("__lang"), F.col("low").alias("__low"), F.col("high").alias("__high"))
-    fits = m["score"].between(F.col("__low"), F.col("__high"))
+    limits = limits.select(*[F.col(c).alias(f"__{c}") for c in ("lang", "low", "high", "word_high")])
+    fits = m["score"].between(F.col("__low"), F.col("__high")) & (m["word_score"] <= F.col("__word_high"))
     kept = ~base_failed(m["n_words"], m["n_repeat_words"]) & F.coalesce(fits, F.lit(False))
     joined = measured.join(limits, m["lang"] == F.col("__lang"), "left")
     return joined.withColumn("__kept", kept).drop("__lang")
@@ -302,7 +322,8 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with. They are measured
-    twice, so that no text is written or shuffled for the bands."""
+    twice, so that no text is written or shuffled for the bands; it is once, to meet the
+    word scores, where these are too many to go to every task."""
     texts = scored(documents)
     limits = bands(texts.select("__measured"))
     found = judged(texts, limits).where("__kept")
@@ -323,4 +344,6 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
         m["score"].alias("log_perplexity"),
         F.col("__low").alias("low"),
         F.col("__high").alias("high"),
+        m["word_score"].alias("word_log_perplexity"),
+        F.col("__word_high").alias("word_high"),
     )

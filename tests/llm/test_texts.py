@@ -1,5 +1,6 @@
 """Chat examples, personal data, quality, language, toxicity and licenses."""
 
+import collections
 import itertools
 import math
 import random
@@ -11,9 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import chat, language, licenses, pii, quality, toxicity
+from strata.llm import chat, language, licenses, pii, quality, toxicity, wordmodel
 from strata.llm.tokens import Words
-from tests.llm.cases import WORD, digest, key, no_documents, odd_documents, odd_texts
+from tests.llm.cases import LOWER, WORD, digest, key, no_documents, odd_documents, odd_texts
 
 # -- chat ------------------------------------------------------------------------
 
@@ -174,6 +175,79 @@ def test_bands_reject_what_reads_unlike_its_language(spark, block):
     assert left.columns == frame.columns and {r["doc_id"] for r in left.collect()} == kept
 
 
+def plain_word_scores(rows):
+    """Mean negative log probability per word under the other rows, by dictionaries."""
+    said = [(lang or "", WORD.findall((text or "").translate(LOWER))) for _, text, lang in rows]
+    told = {}
+
+    def counts(skip):
+        found = collections.defaultdict(collections.Counter)
+        for i, (lang, words) in enumerate(said):
+            if i != skip:
+                for gram in zip(["<", "<", *words], ["<", *words], words):
+                    found[lang][gram] += 1
+        return found
+
+    def orders(grams):
+        pairs = collections.Counter(g[1:] for g in grams)
+        return [collections.Counter(g[1:] for g in pairs), pairs, grams]
+
+    whole = {lang: orders(grams) for lang, grams in counts(None).items()}
+    for i, (lang, words) in enumerate(said):
+        if not words:
+            continue
+        off = [wordmodel._discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]) for c in whole[lang]]
+        known = orders(counts(i)[lang])
+
+        def chance(gram, order):
+            lower = chance(gram[1:], order - 1) if order else 1 / (len(whole[lang][0]) + 1)
+            met = [n for g, n in known[order].items() if g[:-1] == gram[:-1] and n]
+            if not met:
+                return lower
+            n = known[order][gram]
+            cut = off[order][min(n, 3) - 1] if n else 0
+            return (n - cut + sum(off[order][min(m, 3) - 1] for m in met) * lower) / sum(met)
+
+        logs = [math.log(chance(g, 2)) for g in zip(["<", "<", *words], ["<", *words], words)]
+        told[i] = -sum(logs) / len(words)
+    return told
+
+
+@pytest.mark.parametrize("flush", [1 << 20, 60])
+def test_word_scores_are_those_under_the_other_documents(spark, monkeypatch, flush):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["a", "B", "b", "cé", "d.", "e"]) for _ in range(draw.randint(1, 25))) for _ in range(24)]
+    rows = [(i, t, ["en", "de", None][i % 3]) for i, t in enumerate([*texts, texts[0], texts[0].upper(), None, "", "a"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    monkeypatch.setattr(wordmodel, "FLUSH_WORDS", flush)
+    measured = quality.scored(frame)
+    got = {r["doc_id"]: r["__measured"]["word_score"] for r in measured.collect()}
+    wanted = plain_word_scores(rows)
+    assert len(got) == len(rows)
+    assert all((got[i] is None) == (i not in wanted) for i in got)
+    assert all(math.isclose(got[i], wanted[i], abs_tol=1e-8) for i in wanted)
+
+
+def test_word_salad_and_odd_words_are_rejected(spark):
+    """Both are spelled like the other documents and have their letters."""
+    draw = random.Random(5)
+    words = ["".join(draw.choice("aeionrst") for _ in range(draw.randint(3, 6))) for _ in range(400)]
+    follows = {w: draw.sample(words, 8) for w in words}
+
+    def text():
+        said = [draw.choice(words)]
+        while len(said) < 200:
+            said.append(draw.choice(follows[said[-1]]))
+        return said
+
+    good = [" ".join(text()) for _ in range(200)]
+    salad = [" ".join(draw.sample(said, len(said))) for said in (text() for _ in range(3))]
+    odd = [" ".join("".join(draw.sample(w, len(w))) + w[0] for w in text()) for _ in range(3)]
+    rows = [(i, t, "en") for i, t in enumerate([*good, *salad, *odd])]
+    kept = {r["doc_id"] for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == set(range(200))
+
+
 def test_quality_of_odd_tables(spark):
     frame, rows = odd_documents(spark)
     measured = quality.scored(frame)
