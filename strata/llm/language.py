@@ -3,11 +3,13 @@ segmentation summed out.
 
 Each language has a probability for every piece of the vocabulary. A word's
 probability is the sum over all ways to cut it into pieces, by the forward
-algorithm; a text's is the product over its words. Training takes one step of
-expectation-maximisation: under the vocabulary's own (rank) probabilities the
-forward-backward algorithm gives the expected number of uses of each piece in each
-word, Spark adds them up per language over all training texts, and they are
-smoothed with those of all languages together.
+algorithm; a text's is the product over its words. Training is expectation-
+maximisation: the forward-backward algorithm gives the expected number of uses of each
+piece in each word, Spark adds them up per language over all training texts, and they
+are smoothed with those of all languages together. The first step takes the
+vocabulary's own (rank) probabilities, each other one those of the step before, until
+no language's change by more than ``SETTLED`` in all, or ``STEPS`` steps. Spark counts
+the different words of each language once, and the steps read those.
 
 Words are runs of letters, lower-cased, of at most ``WORD`` letters (longer runs are
 cut), with a space in front. Equal words of a slice are worked out once, for all of
@@ -30,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.registry import load, registered
+from strata.llm.registry import load, registered, written
 from strata.llm.tokens import Words, mix, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-PIECE_BYTES = 8
 WORD = 20
 CACHE = 400_000
 RANK_OFFSET = 500
 SMOOTHING = 200.0
+SETTLED = 0.02  # sum of what the probabilities of a language change by
+STEPS = 30
 UNDECIDED = "und"
 _U = np.uint64
 _SCALE = 4096.0  # per byte, so that products of small probabilities stay in range
@@ -58,6 +61,7 @@ class Pieces:
         self.weight = 1.0 / (np.array(ranks, dtype=np.float64) + RANK_OFFSET)
         self.weight /= self.weight.sum()
         self.length = np.array([len(p) for p in pieces])
+        self.lengths = sorted({len(p) for p in pieces})
         base = _U(0x9E3779B97F4A7C15)
         self.byte = mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
         inverse = _U(pow(int(base), -1, 1 << 64))
@@ -92,7 +96,7 @@ class Pieces:
         return at
 
 
-def read_pieces(path: str = VOCABULARY, longest: int = PIECE_BYTES) -> Pieces:
+def read_pieces(path: str = VOCABULARY, longest: int = 4 * WORD + 1) -> Pieces:
     """The pieces of a vocabulary file (base64 and rank per line) that can occur in a
     lower-cased word; all single bytes are among them."""
     pieces, ranks = [], []
@@ -144,7 +148,7 @@ class Lattice:
         longest = self.rows.shape[1]
         for to in range(1, longest + 1):
             alive = self.alive(to)
-            for begin in range(max(0, to - PIECE_BYTES), to):
+            for begin in [to - length for length in reversed(self.pieces.lengths) if length <= to]:
                 keys = mix((self.sums[to, :alive] - self.sums[begin, :alive]) * self.pieces.down[begin])
                 yield begin, to, alive, self.pieces.find(keys)
 
@@ -195,25 +199,46 @@ def _scaled(pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
     return np.concatenate([probabilities * factor, np.zeros((1, *probabilities.shape[1:]))])
 
 
-def piece_uses(labelled: DataFrame, pieces: Pieces) -> DataFrame:
-    """(lang, piece, uses): expected uses in millionths, over all rows of (text, lang)."""
-    shared = labelled.sparkSession.sparkContext.broadcast(pieces)
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, word, n): the different words of each language, over all rows of (text, lang)."""
 
     def count(batches):
-        pieces = shared.value
-        scaled = _scaled(pieces, pieces.weight)
-        held: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             names, which = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object), return_inverse=True)
             words = Words(pa.array(letters(batch.column("text").to_pylist()), pa.string()))
             if not len(words):
                 continue
             _, first, word = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            weights = np.bincount(word * len(names) + which[words.doc], minlength=len(first) * len(names))
-            lattice = Lattice(pieces, words.data, words.start[first], words.end[first])
-            uses = expected(lattice, scaled, weights.reshape(len(first), len(names)).astype(np.float64))
-            for column, name in enumerate(names):
-                held[name] = held.get(name, 0.0) + uses[:, column]
+            codes, times = np.unique(word * len(names) + which[words.doc], return_counts=True)
+            raw, at = words.data.tobytes(), first[codes // len(names)]
+            said = [raw[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[codes % len(names)], pa.string()), pa.array(said, pa.binary()).cast(pa.string()), pa.array(times)],
+                ["lang", "word", "n"],
+            )
+
+    made = labelled.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
+    counted = made.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return written(counted.sortWithinPartitions("lang", "word"), "words")  # sums must not depend on the order rows came in
+
+
+def piece_uses(words: DataFrame, pieces: Pieces, names: list[str], probabilities: np.ndarray) -> np.ndarray:
+    """Expected uses, (pieces, languages), over (lang, word, n) under each language's
+    probabilities; Spark adds them up in millionths."""
+    shared = words.sparkSession.sparkContext.broadcast((pieces, _scaled(pieces, probabilities)))
+
+    def count(batches):
+        pieces, scaled = shared.value
+        held: dict[str, np.ndarray] = {}
+        for batch in slices(batches, "word"):
+            said, times = batch.column("word"), batch.column("n").to_numpy().astype(np.float64)
+            lang = np.array(batch.column("lang").to_pylist(), dtype=object)
+            for name in np.unique(lang):
+                mine = np.flatnonzero(lang == name)
+                found = Words(said.take(pa.array(mine)))
+                lattice = Lattice(pieces, found.data, found.start, found.end)
+                uses = expected(lattice, scaled[:, names.index(name)], times[mine][:, None])
+                held[name] = held.get(name, 0.0) + uses[:, 0]
         for name, uses in held.items():
             whole = np.round(uses * 1e6).astype(np.int64)
             some = np.flatnonzero(whole)
@@ -222,23 +247,34 @@ def piece_uses(labelled: DataFrame, pieces: Pieces) -> DataFrame:
                 ["lang", "piece", "uses"],
             )
 
-    made = labelled.select("text", "lang").mapInArrow(count, "lang string, piece int, uses long")
-    return made.groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
-
-
-def learn(labelled: DataFrame, pieces: Pieces, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
-    """The languages and the pieces' probabilities in each, (pieces, languages)."""
-    table = piece_uses(labelled, pieces).toArrow()
-    names = sorted(set(table.column("lang").to_pylist()))
-    if not names:
-        return [], np.zeros((len(pieces), 0))
+    made = words.mapInArrow(count, "lang string, piece int, uses long")
+    table = made.groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+    shared.destroy()
     uses = np.zeros((len(pieces), len(names)))
     place = {name: i for i, name in enumerate(names)}
     column = [place[name] for name in table.column("lang").to_pylist()]
     uses[table.column("piece").to_numpy(), column] = table.column("uses").to_numpy() / 1e6
+    return uses
+
+
+def learn(labelled: DataFrame, pieces: Pieces, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
+    """The languages and the pieces' probabilities in each, (pieces, languages)."""
+    words = word_counts(labelled)
+    names = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    probabilities = np.repeat(pieces.weight[:, None], len(names), axis=1)
+    for _ in range(STEPS if names else 0):
+        before, probabilities = probabilities, improved(words, pieces, names, probabilities, smoothing)
+        if np.abs(probabilities - before).sum(axis=0).max() <= SETTLED:
+            break
+    return names, probabilities
+
+
+def improved(words: DataFrame, pieces: Pieces, names: list[str], probabilities: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """The probabilities after one step."""
+    uses = piece_uses(words, pieces, names, probabilities)
     everywhere = uses.sum(axis=1) + 1000 * pieces.weight
     everywhere /= everywhere.sum()
-    return names, (uses + smoothing * everywhere[:, None]) / (uses.sum(axis=0) + smoothing)
+    return (uses + smoothing * everywhere[:, None]) / (uses.sum(axis=0) + smoothing)
 
 
 class _Known:

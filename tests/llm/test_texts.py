@@ -1,5 +1,6 @@
 """Chat examples, personal data, quality, language, toxicity and licenses."""
 
+import base64
 import collections
 import itertools
 import math
@@ -296,6 +297,34 @@ def test_pieces_are_found_by_hash():
     assert pieces.length[at[:2]].tolist() == [3, 4] and at[2] == len(pieces)
 
 
+def test_no_piece_of_a_word_is_left_out():
+    pieces = language.read_pieces()
+    held = set()
+    with open(language.VOCABULARY, "rb") as lines:
+        for line in lines:
+            piece = base64.b64decode(line.split()[0])
+            if len(piece) > 8 and re.fullmatch(rb" ?[a-z\x80-\xff]+", piece):
+                held.add(piece)
+    keys = np.array([pieces._hash(p) for p in sorted(held)], dtype=np.uint64)
+    assert len(held) > 5000 and (pieces.length[pieces.find(keys)] == [len(p) for p in sorted(held)]).all()
+    long = language.Pieces([b" ", b"a", b"b", b" " + b"ab" * 9], [0, 1, 2, 3])
+    words = Words(pa.array(["ab" * 9]))
+    lattice = language.Lattice(long, words.data, words.start, words.end)
+    got = language.forward(lattice, language._scaled(long, np.array([0.1, 0.1, 0.1, 0.7]))[:, None])[0, 0]
+    assert math.isclose(got, math.log(0.7 + 0.1**19))
+
+
+def test_the_probabilities_have_settled(spark):
+    rows = [("the cat and the other cat are there then", "en"), ("die katze und die andere katze sind da", "de")] * 20
+    labelled, pieces = spark.createDataFrame(rows, "text string, lang string"), language.read_pieces()
+    words = language.word_counts(labelled)
+    assert {(r["lang"], r["word"]): r["n"] for r in words.collect()}["en", "cat"] == 40
+    names, learned = language.learn(labelled, pieces)
+    assert names == ["de", "en"] and np.allclose(learned.sum(axis=0), 1)
+    again = language.improved(words, pieces, names, learned)
+    assert np.abs(again - learned).sum(axis=0).max() <= language.SETTLED
+
+
 def test_languages_of_held_out_documents(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = language.identified(frame).join(frame.withColumnRenamed("lang", "real"), "doc_id")
