@@ -286,7 +286,9 @@ def _classes(rows: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     shared = written(met.join(members, "doc").select("sign", F.col("first").alias("doc")).distinct(), "met")
     shared = written(_promising(shared, facts), "shared")
-    texts = written(_texts(rows, shared.select(F.col("doc").alias("wanted"))), "texts")
+    # sets with a negative margin can be similar to one with which they share no signature
+    poor = written(facts.where("margin < 0").select("doc", "low", "high", "margin"), "poor")
+    texts = written(_texts(rows, shared.select(F.col("doc").alias("wanted")).union(poor.select("doc"))), "texts")
     links, judged = _stars(texts, shared)
 
     # what each signature would make of the classes that are left
@@ -296,7 +298,7 @@ def _classes(rows: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     crowded = left.where(F.col("sets") * F.col("sets") - F.col("squares") > 2 * CROWD * F.col("sets")).select("sign")
     spent = open_.join(crowded, "sign").groupBy("doc").agg(F.count(F.lit(1)).alias("spent"))
-    spare = shared.select("doc", "low", "high", "margin").distinct().join(spent, "doc", "left")
+    spare = shared.select("doc", "low", "high", "margin").union(poor).distinct().join(spent, "doc", "left")
     spare = written(
         spare.select("doc", "low", "high", (F.col("margin") - F.coalesce("spent", F.lit(0))).alias("spare")), "spare"
     )

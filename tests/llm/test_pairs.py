@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strata.llm import components, decontaminate, jaccard, substrings
@@ -64,6 +65,20 @@ def test_similar_sets_share_a_signature():
             assert len(np.intersect1d(jaccard.neighbourhoods(one), jaccard.neighbourhoods(other)))
 
 
+def test_near_duplicates_that_share_no_signature(spark):
+    """Nine words and the first eight of them: similarity 4/5, all in one segment."""
+    nine = [
+        "w282164 w887317 w119237 w19160 w655608 w489798 w729330 w526237 w589717",
+        "w521731 w736548 w777779 w80706 w711852 w246567 w195563 w975792 w382300",
+        "w170325 w238903 w495480 w729563 w151913 w524795 w193 w501465 w836060",
+    ]
+    texts = [t for text in nine for t in (text, text.rsplit(" ", 1)[0])]
+    signs = [set(jaccard.signatures(s)[0].tolist()) for s in jaccard.shingle_sets(pa.array(texts))]
+    assert not any(signs[i] & signs[i + 1] for i in (0, 2, 4))
+    frame, rows = odd_documents(spark, [*texts, "quite another text that has nothing to do with it"])
+    assert links_of(frame) == wanted_links(rows)
+
+
 def test_similarity_is_exact_at_the_threshold():
     one = np.arange(9, dtype=np.uint64)
     assert jaccard.similar(one, one[:8]) and not jaccard.similar(one, one[:7])
