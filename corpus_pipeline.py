@@ -22,12 +22,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the smallest doc_id stays; of rows that share
-    an id, one. Rows without an id are in no class and stay."""
-    found = jaccard.linked(docs.select("doc_id", "text"))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    return _one_per_id(left)
+    """Of each class of near duplicates the row of the smallest doc_id stays, null being
+    the largest. Rows are told apart by a number of their own, so ids may be null or
+    repeated; texts without words are in no class and stay."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.linked(rows.select(F.col("__row").alias("doc_id"), "text"))
+    classes = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"))
+    placed = written(classes.join(rows.select("__row", "doc_id"), "__row"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    first = placed.groupBy("__class").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = placed.select("__row").join(first, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _one_per_id(docs: DataFrame) -> DataFrame:

@@ -123,6 +123,19 @@ def test_the_pipeline_takes_odd_rows(spark, folder):
     result.collect()
 
 
+def test_rows_are_told_apart_by_text_not_by_id(spark):
+    text = lambda start: " ".join(f"w{i}" for i in range(start, start + 60))
+    rows = [
+        (1, text(0)), (1, text(100)), (1, text(200)), (2, text(100) + " more"), (3, text(300)), (0, text(300)),
+        (3, text(400)), (None, text(500)), (None, text(500)), (None, text(0)), (None, text(600)), (4, None), (4, None),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, frame, SF)
+    wanted = [rows[i] for i in (0, 1, 2, 5, 6, 7, 10, 11, 12)]
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(wanted, key=key)
+
+
 def test_one_row_stays_of_those_that_share_an_id(spark):
     rows = [(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d"), (None, "d"), (3, None), (3, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
