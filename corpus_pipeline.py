@@ -25,30 +25,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of near duplicates the row of the smallest doc_id stays, null being
     the largest. Rows are told apart by a number of their own, so ids may be null or
     repeated; texts without words are in no class and stay."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = jaccard.linked(rows.select(F.col("__row").alias("doc_id"), "text"))
-    classes = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"))
-    placed = written(classes.join(rows.select("__row", "doc_id"), "__row"), "placed")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
-    first = placed.groupBy("__class").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
-    gone = placed.select("__row").join(first, "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    """Rows of an id that is there several times are reduced to the first text; all
-    other rows are left where they are."""
-    several = written(
-        docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "several"
-    )
-    if several.isEmpty():
-        return docs
-    single = docs.join(several, docs["doc_id"] == several["__id"], "left_anti")
-    again = docs.join(several, docs["doc_id"] == several["__id"], "left_semi")
-    columns = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")]
-    first = again.select("doc_id", F.col("text").alias("__text"), *columns).groupBy("doc_id").agg(F.min_by("row", "__text").alias("row"), F.first("row").alias("any"))
-    kept = first.select(F.coalesce("row", "any").alias("row")).select("row.*")
-    return single.unionByName(kept)
+    # the document travels as one struct, so that no name of its columns is taken
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("doc")), "rows")
+    found = jaccard.linked(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    classes = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("class"))
+    placed = written(classes.join(rows.select("row", F.col("doc.doc_id").alias("doc_id")), "row"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = placed.groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    gone = placed.select("row").join(first, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 # Perplexity bands, entropy balancing and the span classifier are not SQL; the stages
-# are tested against brute force in tests/llm/test_pipeline.py.
+# are tested against brute force in tests/llm/test_mixing_and_pipeline.py.
 ORACLE_SQL = None
 
 
