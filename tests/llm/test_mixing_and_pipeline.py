@@ -136,8 +136,10 @@ def test_rows_are_told_apart_by_text_not_by_id(spark):
     assert sorted(map(tuple, kept.collect()), key=key) == sorted(wanted, key=key)
 
 
-def test_one_row_stays_of_those_that_share_an_id(spark):
-    rows = [(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d"), (None, "d"), (3, None), (3, None)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = corpus_pipeline._one_per_id(frame)
-    assert sorted(map(tuple, kept.collect()), key=key) == sorted([(1, "a"), (2, "c"), (None, "d"), (None, "d"), (3, None)], key=key)
+def test_near_duplicates_leave_columns_of_any_name_alone(spark):
+    names = ["doc_id", "text", "__row", "row", "class", "a.b"]
+    rows = [(1, "some words " * 5, "mine", 7, "x", "y"), (2, "some words " * 5, "yours", 8, "x", "y"), (3, None, "ours", 9, None, "y")]
+    frame = spark.createDataFrame(rows, names)
+    kept = corpus_pipeline.near_duplicates(spark, frame, SF)
+    assert kept.columns == names
+    assert sorted(map(tuple, kept.collect()), key=key) == [rows[0], rows[2]]
