@@ -1,4 +1,4 @@
 """Importing this registers all queries of the subpackage."""
 
-from strata.llm import chat, decontaminate, jaccard, language, licenses, mixing, pii, quality, substrings, toxicity  # noqa: F401
+from strata.llm import chat, clusters, decontaminate, jaccard, language, licenses, mixing, pii, quality, substrings, toxicity  # noqa: F401
 from strata.llm.registry import ORACLES, QUERIES  # noqa: F401
