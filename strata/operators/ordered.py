@@ -5,8 +5,9 @@ A log row has a whole sequence number that no other row of its key shares, so
 most ``block_rows`` rows. Windows run inside blocks. What a block has to know of
 the ones before it is a single summary row, which is put in front of its rows;
 summaries come from an aggregate that shrinks the data before any shuffle, and a
-key has one of them per block. Where numbers have gaps (time stamps, say), raise
-``block_rows`` in proportion, or blocks hold so few rows that summaries pile up.
+key has one of them per block. Where numbers have gaps or are missing (time stamps,
+say), ``numbered`` gives every row a number without gaps first, so that blocks are
+cut by rows.
 """
 
 from __future__ import annotations
@@ -16,10 +17,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import workspace
+
 BLOCK_ROWS = 1_000_000
 _AGGREGATES = {"sum": F.sum, "max": F.max}
 
 
+def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "_at", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the number of each row, from 0 on, in ``order`` over all rows; equal rows are
+    put in some order, too.
+
+    Rows are dealt to ranges of about ``block_rows``, sorted there and written; what
+    comes before a range is known from the sizes of the others, one number each.
+    """
+    spark, folder = rows.sparkSession, workspace(rows.sparkSession, "numbered")
+    ranges = max(1, -(-rows.count() // block_rows))
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(ranges, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    placed = dealt.withColumn("_place", F.monotonically_increasing_id())  # range * 2**33 + place in it
+    placed.write.parquet(folder)
+    found = spark.read.schema(placed.schema).parquet(folder)
+    part = F.shiftright("_place", 33)
+    sizes = found.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    joined = found.withColumn("_range", part).join(starts, "_range")
+    return joined.select(*rows.columns, (F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def _blocked(rows: DataFrame, order: str, block_rows: int) -> DataFrame:
     return rows.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows))).withColumn("_real", F.lit(True))
 
