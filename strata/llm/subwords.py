@@ -186,29 +186,43 @@ def sample(documents: DataFrame, known: DataFrame, size: int = SAMPLE) -> DataFr
 
 
 def featured(rows: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(part, order, label, features) of labelled texts, written."""
+    """A row for each part: its labelled texts as numbers, written once."""
 
     def look(batches):
         for batch in slices(batches):
-            found = [pack(bucket.astype(np.uint32), times) for bucket, times in Features(batch.column("text")).texts_in_numbers()]
+            # steps between buckets and small counts pack well
+            found = [
+                pack(np.diff(bucket, prepend=0).astype(np.uint32), times.astype(np.uint32))
+                for bucket, times in Features(batch.column("text")).texts_in_numbers()
+            ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "order", "label")), pa.array(found)], ["part", "order", "label", "features"])
 
     order = F.xxhash64(F.col("id"), F.lit("order"))
     dealt = rows.select(F.pmod(order, F.lit(parts)).alias("part"), order.alias("order"), "label", "text")
-    return written(dealt.mapInArrow(look, "part long, order long, label int, features binary"), "features")
+    numbers = dealt.mapInArrow(look, "part long, order long, label int, features binary")
+    return written(numbers.repartition(parts, "part").groupBy("part").applyInArrow(_gathered, "part long, labels array<int>, features array<binary>"), "features")
 
 
-def _walk(rows: pa.Table, before: bytes, rate: float) -> pa.Table:
-    model = Model.unpacked(before)
-    rows = rows.sort_by("order")
-    documents = []
-    for blob, label in zip(rows.column("features").to_pylist(), rows.column("label").to_pylist()):
-        bucket, times = unpack(blob, np.uint32, np.int64)
-        if len(bucket):
-            documents.append((bucket.astype(np.int64), times / times.sum(), label))
-    for _ in range(-(-STEPS * BATCH // max(len(documents), 1)) if documents else 0):
-        model.learn(documents, rate)
-    return pa.table({"part": [rows.column("part")[0].as_py()], "n": [len(documents)], "model": [model.packed()]})
+def _gathered(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("order", "ascending"), ("label", "ascending")])
+    return pa.table(
+        {"part": [rows.column("part")[0].as_py()], "labels": [rows.column("label").to_pylist()], "features": [rows.column("features").to_pylist()]},
+        pa.schema([("part", pa.int64()), ("labels", pa.list_(pa.int32())), ("features", pa.list_(pa.binary()))]),
+    )
+
+
+def _walked(batches, before: bytes, rate: float):
+    """The model of each part after a round."""
+    for batch in batches:
+        for part, labels, features in zip(*(batch.column(c).to_pylist() for c in ("part", "labels", "features"))):
+            model, documents = Model.unpacked(before), []
+            for label, blob in zip(labels, features):
+                steps, times = unpack(blob, np.uint32, np.uint32)
+                if len(steps):
+                    documents.append((np.cumsum(steps, dtype=np.int64), times / times.sum(), label))
+            for _ in range(-(-STEPS * BATCH // len(documents)) if documents else 0):
+                model.learn(documents, rate)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(documents)]), pa.array([model.packed()])], ["part", "n", "model"])
 
 
 def trained(features: DataFrame, epochs: int = EPOCHS, rate: float = RATE) -> Model:
@@ -216,7 +230,7 @@ def trained(features: DataFrame, epochs: int = EPOCHS, rate: float = RATE) -> Mo
     model = Model.fresh()
     for epoch in range(epochs):
         shared, step = spark.sparkContext.broadcast(model.packed()), rate * (1 - epoch / epochs)
-        walked = features.groupBy("part").applyInArrow(lambda rows: _walk(rows, shared.value, step), "part long, n long, model binary")
+        walked = features.mapInArrow(lambda batches: _walked(batches, shared.value, step), "part long, n long, model binary")
         found = sorted(walked.collect(), key=lambda row: row["part"])  # ``parts`` models
         total = sum(row["n"] for row in found)
         if not total:
@@ -235,7 +249,7 @@ def quality(documents: DataFrame, labels: DataFrame, label: str = "quality") ->
     all_of = dict(known.groupBy("label").count().collect())
     rows = sum(min(n, SAMPLE) for n in all_of.values())
     features = featured(sample(documents, known), max(1, min(PARTS, rows // PART_ROWS)))
-    taken = dict(features.groupBy("label").count().collect())
+    taken = dict(features.select(F.explode("labels").alias("label")).groupBy("label").count().collect())
     if len(taken) == 2:
         value, offset = trained(features).of_buckets()
         offset += np.log(all_of[1] / all_of[0]) - np.log(taken[1] / taken[0])
