@@ -41,7 +41,7 @@ from strata.llm.tokens import mix, pack, running, slices, spans, unpack
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PAIRS_A_ROW = 50_000
 LONG_SPACE = 5_000
 _LONG = re.compile(rf"\s{{{LONG_SPACE}}}")
