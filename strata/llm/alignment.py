@@ -42,6 +42,7 @@ from strata.llm.tokens import mix, pack, running, slices, spans, unpack
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 19  # of text that is tokenised at once
 PAIRS_A_ROW = 50_000
 LONG_SPACE = 5_000
 _LONG = re.compile(rf"\s{{{LONG_SPACE}}}")
@@ -337,7 +338,7 @@ class Block:
 
 def _found(batches, a: ByteLevel, b: PieceModel, block_bytes: int):
     block, number = Block(a, b), TaskContext.get().partitionId() << 32
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         block.add(batch.column("doc_id"), batch.column("text").to_pylist())
         if block.bytes >= block_bytes:
             yield from _batches(block.rows(number))
