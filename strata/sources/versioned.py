@@ -281,7 +281,9 @@ class VersionedTable:
         Several rows for one key need ``order_by``, and the last one wins; an
         ordering column the table lacks is used and dropped.
         ``rows_affected`` counts all source rows, those included. Only folders
-        that hold a matching key are rewritten. With ``skip_empty`` a source
+        that hold a matching key are rewritten, and where the keys have the
+        partition columns among them only partitions that rows come in for are
+        read. With ``skip_empty`` a source
         without rows adds no version.
         """
         self._need_keys(keys)
@@ -341,7 +343,12 @@ class VersionedTable:
         incoming = self.load(staged.folders, schema).select(*keys)
         incoming = (incoming.distinct() if repeated else incoming).alias("incoming")
         same_key = match_condition("present", "incoming", keys)
-        touched = self._folders_holding(head["folders"], schema, keys, incoming, same_key)
+        near = head["folders"]
+        if self.partition_by and set(self.partition_by) <= set(keys):
+            # a key cannot be in a partition that no incoming row has
+            arriving = {folder.partition("/")[2] for folder in staged.folders}
+            near = [folder for folder in near if folder.partition("/")[2] in arriving]
+        touched = self._folders_holding(near, schema, keys, incoming, same_key) if near else set()
         if not touched:
             return [*head["folders"], *staged.folders]
         present = self.load(sorted(touched), schema).alias("present")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from strata.functions.checks import valid_key, well_formed_trace
 from strata.functions.hashing import record_hash
 from strata.functions.labels import label_text
-from strata.operators import audit, changelog, discovery, metering, ordered, policy, schedule
+from strata.operators import audit, changelog, discovery, ledger, metering, ordered, policy, schedule
 from strata.operators.workunit import run_work
+from strata.session import workspace
 from strata.streaming.events import tumbling_counts
 from suite.registry import load, registered
 from suite.sources import fresh
@@ -59,6 +60,35 @@ def usage_by_dimension(spark, sf_dir):
     return as_double(metering.usage_by_dimension(usage_events(spark, sf_dir)), "quantity")
 
 
+@registered(
+    "ledger_totals",
+    f"""WITH {TENANTS}, corrected AS (SELECT
+      CASE WHEN event_type = 'view' AND user_id % 3 = 0 THEN 'MOVED' ELSE tenant END AS tenant,
+      CASE WHEN event_type = 'click' AND user_id % 4 = 0 THEN NULL WHEN event_type = 'purchase' THEN 2 * CAST(value AS DECIMAL(18,2))
+        ELSE CAST(value AS DECIMAL(18,2)) END AS quantity, event_type AS meter FROM tenants)
+    SELECT tenant, meter, CAST(sum(quantity) AS DOUBLE) AS quantity, count(*) AS recorded FROM corrected
+    WHERE quantity IS NOT NULL GROUP BY tenant, meter""",
+)
+def ledger_totals(spark, sf_dir):
+    """Three batches of events and one of corrections: purchases count double, some
+    clicks are taken back, some views were another tenant's. One batch comes twice."""
+    events = events_by_tenant(spark, sf_dir).select(
+        "event_id", "ts", "tenant", F.col("event_type").alias("meter"), F.col("value").cast("decimal(18,2)").alias("quantity"), "user_id"
+    )
+    kept = ledger.Ledger(spark, workspace(spark, "ledger"), 8)
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for batch in (0, 1, 0, 2):
+        kept.record(events.where(third == batch), f"batch-{batch}")
+    taken_back = (F.col("meter") == "click") & (F.col("user_id") % 4 == 0)
+    moved = (F.col("meter") == "view") & (F.col("user_id") % 3 == 0)
+    corrections = events.where((F.col("meter") == "purchase") | taken_back | moved).select(
+        "event_id", "ts", F.when(moved, "MOVED").otherwise(F.col("tenant")).alias("tenant"), "meter",
+        F.when(~taken_back, F.col("quantity") * F.when(F.col("meter") == "purchase", 2).otherwise(1)).alias("quantity"),
+    )
+    kept.record(corrections, "corrections")
+    return as_double(kept.totals(), "quantity")
+
+
 @registered(
     "labelled_counters",
     f"""WITH {TENANTS} SELECT event_type AS name,
