@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.errors import InvalidArgument
+from strata.operators.bands import number_of
 from strata.operators.matching import any_different, match_condition
-from strata.operators.ordered import running
+from strata.operators.ordered import BLOCK_ROWS, numbered, running
 
 # The metadata columns of a history table; "" marks an open version.
 EFFECTIVE_FROM = "effective_from"
@@ -89,17 +91,17 @@ def as_of(history: DataFrame, moment: str) -> DataFrame:
     return history.where(started & not_ended)
 
 
-# How much time the rows of one block span: in days for dates, in microseconds for
-# time stamps, in units for whole numbers.
-BLOCK_SPAN = {T.DateType: 31, T.TimestampType: 86_400_000_000, T.TimestampNTZType: 86_400_000_000}
-
-
-def _whole(column: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("bigint")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(column.cast("timestamp"))
-    return column.cast("bigint")
+def _comparable(kinds: Sequence[T.DataType]) -> list[Callable[[Column], Column]]:
+    """How to turn times of these types into values that compare with each other."""
+    text = [isinstance(kind, T.StringType) for kind in kinds]
+    if all(text):
+        return [lambda c: F.nullif(c, F.lit(OPEN))] * len(kinds)
+    others = [kind for kind, is_text in zip(kinds, text) if not is_text]
+    numbers = [isinstance(kind, T.NumericType) for kind in others]
+    if any(numbers) and (any(text) or not all(numbers)):
+        raise InvalidArgument(f"{', '.join(kind.simpleString() for kind in kinds)} do not compare as times")
+    read = lambda c: number_of(F.nullif(c, F.lit(OPEN)).cast("timestamp"), T.TimestampType())
+    return [read if is_text else (lambda c, kind=kind: number_of(c, kind)) for kind, is_text in zip(kinds, text)]
 
 
 def as_of_join(
@@ -110,33 +112,35 @@ def as_of_join(
     version_time: str,
     columns: Sequence[str],
     until: str | None = None,
-    block_span: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Each fact with ``columns`` of the version of its key that was in force at its
-    time: the last one that began by then, unless it had ended (``until``, null while
-    it is open). Without one, or without a time, they are null. Null is a key.
+    time: the last one that began by then, unless it had ended (``until``, null or ""
+    while it is open). Without one, or without a time, they are null. Null is a key.
+
+    Times are numbers, or dates and times, or strings; numbers of different types
+    compare by value, a date is its midnight, and where strings meet dates or times
+    they are read as such, otherwise they compare as they are.
 
     Both sides are one log per key, in which the last version is carried forward. The
-    log is worked on in blocks of ``block_span``, of which later ones need a single
+    log is worked on in blocks of ``block_rows`` rows, of which later ones need a single
     row of the earlier ones, so neither a key with very many facts nor one with very
     many versions is a task of its own, and no pairs are made. Of versions that begin
-    together the largest by ``columns`` counts.
+    together the largest by ``until`` and ``columns`` counts.
     """
-    kind = versions.schema[version_time].dataType
-    span = block_span or BLOCK_SPAN.get(type(kind), 1_000_000)
-    carried = F.struct(version_time, *([until] if until else []), *columns)
-    log = facts.select(
-        *keys, F.struct(*facts.columns).alias("_fact"), (_whole(F.col(fact_time), facts.schema[fact_time].dataType) * 2 + 1).alias("_order")
-    ).unionByName(
-        versions.where(F.col(version_time).isNotNull()).select(
-            *keys, carried.alias("_version"), (_whole(F.col(version_time), kind) * 2).alias("_order")
-        ),
+    named = [(facts, fact_time), (versions, version_time), *([(versions, until)] if until else [])]
+    at = [turn(F.col(f"`{c}`")) for (_, c), turn in zip(named, _comparable([side.schema[c].dataType for side, c in named]))]
+    ends = [at[2].alias("_until")] if until else []
+    carried = F.struct(at[1].alias("_since"), *ends, *[F.col(f"`{c}`") for c in columns])
+    log = facts.select(*keys, F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_fact"), at[0].alias("_time"), F.lit(1).alias("_side")).unionByName(
+        versions.where(at[1].isNotNull()).select(*keys, carried.alias("_version"), at[1].alias("_time"), F.lit(0).alias("_side")),
         allowMissingColumns=True,
     )
-    seen = running(log, keys, "_order", {"_seen": ("max", F.col("_version"))}, 2 * span).where(F.col("_fact").isNotNull())
+    placed = numbered(log, [*keys, "_time", "_side"], "_at", block_rows)
+    seen = running(placed, keys, "_at", {"_seen": ("max", F.col("_version"))}, block_rows).where(F.col("_fact").isNotNull())
     in_force = F.lit(True)
     if until:
-        in_force = F.coalesce(F.col("_seen")[until] > F.col("_fact")[fact_time], F.lit(True))
+        in_force = F.coalesce(F.col("_seen._until") > F.col("_time"), F.lit(True))
     return seen.select("_fact.*", *[F.when(in_force, F.col("_seen")[c]).alias(c) for c in columns])
 
 

@@ -52,14 +52,18 @@ def decide(requests: DataFrame, allow_list: DataFrame, quota_limit: int) -> Data
 
 
 def authorize(requests: DataFrame, subjects: DataFrame, action_roles: DataFrame) -> DataFrame:
-    """Judge (subject, action) requests against (subject, roles) and (action, role)."""
-    people = subjects.select("subject", "roles")
-    needed = action_roles.select("action", "role")
+    """Judge (subject, action) requests against (subject, roles) and (action, role), one
+    verdict for each. A subject that is listed several times has all the roles listed;
+    of the roles listed for an action any one will do."""
+    listed = subjects.select("subject", "roles", F.explode_outer("roles").alias("role"))
+    # roles are few once they are distinct
+    people = listed.groupBy("subject").agg(F.collect_set("role").alias("held"), F.bool_or(F.col("roles").isNotNull()).alias("known"))
+    needed = action_roles.groupBy("action").agg(F.collect_set("role").alias("needed"))
     known = requests.join(people, "subject", "left").join(needed, "action", "left")
     deny = (
-        F.when((F.coalesce("subject", F.lit("")) == "") | F.col("roles").isNull(), NOT_AUTHENTICATED)
-        .when(F.col("role").isNull(), ACTION_FORBIDDEN)
-        .when(~F.array_contains("roles", F.col("role")), INSUFFICIENT_ROLE)
+        F.when((F.coalesce("subject", F.lit("")) == "") | ~F.coalesce("known", F.lit(False)), NOT_AUTHENTICATED)
+        .when(F.coalesce(F.size("needed"), F.lit(0)) < 1, ACTION_FORBIDDEN)
+        .when(~F.arrays_overlap("held", "needed"), INSUFFICIENT_ROLE)
         .otherwise("")
     )
     return _judged(known, requests.columns, deny)

@@ -172,6 +172,42 @@ def as_of_join(spark, sf_dir):
     return history.as_of_join(orders.select("o_orderkey", "o_custkey", "day"), versions, ["o_custkey"], "day", "since", ["priority"])
 
 
+@registered(
+    "as_of_join_times",
+    """WITH v AS (SELECT event_type, CAST(ts AS DATE) AS since, max(value) AS high FROM events WHERE event_type <> 'view' GROUP BY ALL)
+    SELECT e.event_id, e.event_type, v.since AS since, v.high FROM events e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.ts >= v.since""",
+)
+def as_of_join_times(spark, sf_dir):
+    """Facts at times, versions by date, five keys in blocks of 700 rows."""
+    events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    versions = events.where("event_type <> 'view'").groupBy("event_type", F.col("ts").cast("date").alias("since")).agg(F.max("value").alias("high"))
+    known = versions.withColumn("day", F.col("since"))
+    joined = history.as_of_join(events.select("event_id", "event_type", "ts"), known, ["event_type"], "ts", "day", ["since", "high"], block_rows=700)
+    return joined.drop("ts")
+
+
+@registered(
+    "as_of_join_history",
+    f"""WITH {HISTORY}, f AS (SELECT o_orderkey, o_custkey AS c_custkey,
+      TIMESTAMP '2025-12-20' + to_days(CAST(o_orderkey % 60 AS INTEGER)) AS placed FROM orders)
+    SELECT f.o_orderkey, f.c_custkey, h.c_mktsegment FROM f ASOF LEFT JOIN
+      (SELECT c_custkey, CAST(effective_from AS TIMESTAMP) AS since, c_mktsegment,
+              CAST(nullif(effective_to, '') AS TIMESTAMP) AS till FROM history
+       UNION ALL SELECT c_custkey, CAST(effective_to AS TIMESTAMP), NULL, NULL FROM history h1 WHERE effective_to <> ''
+         AND NOT EXISTS (SELECT 1 FROM history h2 WHERE h2.c_custkey = h1.c_custkey AND h2.effective_from = h1.effective_to)) AS h
+    ON f.c_custkey = h.c_custkey AND f.placed >= h.since""",
+)
+def as_of_join_history(spark, sf_dir):
+    """Orders with the segment their customer had then, from a history table as the
+    load keeps it: text dates, "" for open versions."""
+    orders = load(spark, sf_dir, "orders")
+    placed = F.expr("timestamp'2025-12-20' + make_dt_interval(cast(o_orderkey % 60 AS int))")
+    facts = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), placed.alias("placed"))
+    versions = customer_history(spark, sf_dir).read()
+    joined = history.as_of_join(facts, versions, KEY, "placed", "effective_from", ["c_mktsegment"], until="effective_to")
+    return joined.drop("placed")
+
+
 # -- medallion -----------------------------------------------------------------
 
 LANDING_SQL = """landing AS (

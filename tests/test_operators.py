@@ -376,12 +376,69 @@ def test_as_of_join(spark):
     joined = history.as_of_join(
         spark.createDataFrame(facts, "k string, at long, id int"),
         spark.createDataFrame(versions, "k string, since long, till long, v string"),
-        ["k"], "at", "since", ["v"], until="till", block_span=4,
+        ["k"], "at", "since", ["v"], until="till", block_rows=3,
     )
     assert dict(as_set(joined, "id", "v")) == {1: None, 2: "x", 3: "y", 4: None, 5: "n", 6: None, 7: "x"}
     ended = history.as_of_join(
         spark.createDataFrame([("a", 22, 1)], "k string, at long, id int"),
         spark.createDataFrame(versions, "k string, since long, till long, v string"),
-        ["k"], "at", "since", ["v"], until="till", block_span=4,
+        ["k"], "at", "since", ["v"], until="till", block_rows=3,
     )
     assert as_set(ended, "v") == [(None,)]
+
+
+def test_as_of_join_compares_by_value_whatever_the_types(spark):
+    def joined(facts, versions, fact_type, version_type, until=None):
+        one = spark.createDataFrame([("k", f, i) for i, f in enumerate(facts)], "k string, f string, id int")
+        other = spark.createDataFrame([("k", v, t, f"v{i}") for i, (v, t) in enumerate(versions)], "k string, v string, t string, name string")
+        found = history.as_of_join(
+            one.withColumn("f", F.col("f").cast(fact_type)),
+            other.withColumns({"v": F.col("v").cast(version_type), "t": F.col("t").cast(version_type)}),
+            ["k"], "f", "v", ["name"], until=until, block_rows=2,
+        )
+        return [name for _, name in as_set(found, "id", "name")]
+
+    days = [("2023-06-01", None), ("2024-01-01", None), ("2030-01-01", None)]
+    assert joined(["2024-05-01 10:00:00", "2023-12-31 23:59:59", "2022-01-01 00:00:00"], days, "timestamp", "date") == ["v1", "v0", None]
+    assert joined(["2024-01-01", "2029-12-31"], days, "date", "timestamp") == ["v1", "v1"]
+    assert joined(["1.2", "1.7", "1.9", "-0.5"], [("1.7", None), ("1.0", None)], "double", "double") == ["v1", "v0", "v0", None]
+    assert joined(["1", "2"], [("1.5", None), ("0.5", None)], "int", "decimal(5,2)") == ["v1", "v0"]
+    text = [("2026-01-01", "2026-02-01"), ("2026-02-01", ""), ("", "")]
+    assert joined(["2026-01-15", "2026-02-01", "2025-01-01", "2027-01-01"], text, "string", "string", "t") == ["v0", "v1", None, "v1"]
+    assert joined(["2026-01-15", "2026-02-01", "2025-01-01", "2027-01-01"], text, "date", "string", "t") == ["v0", "v1", None, "v1"]
+    for wrong in (("double", "date"), ("int", "string")):
+        with pytest.raises(InvalidArgument, match="do not compare"):
+            joined([], [], *wrong)
+
+
+def test_no_block_of_an_as_of_join_holds_a_hot_key(spark, monkeypatch):
+    """All facts at one moment, all versions of one key."""
+    facts = spark.range(2000).select(F.lit("k").alias("k"), F.lit(5).alias("at"), F.col("id"))
+    versions = spark.range(500).select(F.lit("k").alias("k"), (F.col("id") % 5).alias("since"), F.col("id").alias("v"))
+    seen, real = [], history.running
+
+    def spy(log, keys, order, measures, block_rows):
+        seen.append(log.groupBy(F.floor(F.col(order) / block_rows)).count().agg(F.max("count")).first()[0])
+        return real(log, keys, order, measures, block_rows)
+
+    monkeypatch.setattr(history, "running", spy)
+    joined = history.as_of_join(facts, versions, ["k"], "at", "since", ["v"], block_rows=100)
+    assert joined.groupBy("v").count().collect() == [(499, 2000)] and seen == [100]
+
+
+def test_one_verdict_for_each_request(spark):
+    subjects = [("ann", ["viewer"]), ("ann", ["runner"]), ("ann", None), ("bob", None), ("cat", []), ("cat", ["viewer"] * 3)]
+    roles = [("run", "runner"), ("run", "admin"), ("see", "viewer"), ("none", None)]
+    requests = [("ann", "run"), ("ann", "see"), ("cat", "run"), ("cat", "see"), ("bob", "see"), ("ann", "none"), ("ann", "gone"), ("ann", "run")]
+    found = policy.authorize(
+        spark.createDataFrame(requests, "subject string, action string"),
+        spark.createDataFrame(subjects, "subject string, roles array<string>"),
+        spark.createDataFrame(roles, "action string, role string"),
+    )
+    assert as_set(found, "subject", "action", "deny_code") == sorted(
+        [
+            ("ann", "run", ""), ("ann", "run", ""), ("ann", "see", ""), ("cat", "run", "INSUFFICIENT_ROLE"), ("cat", "see", ""),
+            ("bob", "see", "NOT_AUTHENTICATED"), ("ann", "none", "ACTION_FORBIDDEN"), ("ann", "gone", "ACTION_FORBIDDEN"),
+        ],
+        key=repr,
+    )
