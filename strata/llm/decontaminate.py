@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.registry import load, registered, written
+from strata.llm.rows import told_apart
 from strata.llm.tokens import Words, mix, slices
 
 WINDOW = 10
@@ -155,7 +156,7 @@ def _searched(rows: DataFrame, block: Windows) -> DataFrame:
                 ["doc_id", "mark", "n_words", "runs", "items"],
             )
 
-    kinds = "doc_id long, mark int, n_words long, runs array<struct<start: long, end: long>>, items array<string>"
+    kinds = "doc_id long, mark long, n_words long, runs array<struct<start: long, end: long>>, items array<string>"
     return rows.mapInArrow(search, kinds)
 
 
@@ -229,9 +230,11 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and runs (the hit
     words as start and end) and items."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("mark"))
     found = []
     for block, several in _blocks(rows, benchmark, window, block_windows):
+        if several and not found:
+            rows = told_apart(documents)  # what blocks find in a row is put together
         made = _searched(rows, block)
         found.append(written(made, "hits") if several else made)
     if not found:
@@ -240,13 +243,10 @@ def contaminated(
     for more in found[1:]:
         hits = hits.union(more)
     if len(found) > 1:
-        # one row for each block and document; equal rows stay as many as they were
+        # one row for each block and document
         hits = hits.groupBy("doc_id", "mark", "n_words").agg(
-            F.flatten(F.collect_list("runs")).alias("runs"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-            (F.count(F.lit(1)) / len(found)).cast("int").alias("rows"),
+            F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
         )
-        hits = hits.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return hits.select(
         "doc_id",
         "n_words",

@@ -13,7 +13,8 @@ minimiser's bucket; there the windows are sorted and compared word for word.
 * Buckets are as many as the text needs at ``bucket_bytes`` each.
 
 "Earlier" is by (doc_id, word number), null ids last. Rows that share an id share
-its positions: the same place in two rows is not earlier than itself. Null and
+its positions: the same place in two rows is not earlier than itself; what is
+found in a row is taken from that row (``rows.told_apart``). Null and
 empty texts have no words. Other columns are not looked at.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.registry import load, registered, written
+from strata.llm.rows import told_apart
 from strata.llm.tokens import Words, mix, pack, slices, sliding_min, unpack
 
 WINDOW = 20
@@ -46,19 +48,17 @@ def repeated_passages(
     fine_bits: int = FINE_BITS,
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, one space apart)."""
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark")
-    )
+    rows = told_apart(documents)
     # a super-k-mer carries window - 1 words besides those its windows start with
     spread = 1 + 2 * (window - 1) / (window - piece + 2)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, int(size * spread / bucket_bytes))
     hot = _frequent(rows, window, piece, fine_bits, buckets)
     sent = rows.mapInArrow(_sender(window, piece, fine_bits, hot, buckets), "bucket int, blob binary")
-    found = sent.groupBy("bucket").applyInArrow(_finder(window), "doc_id long, mark int, at long, n long")
+    found = sent.groupBy("bucket").applyInArrow(_finder(window), "doc_id long, mark long, at long, n long")
     repeats = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
-    same = rows["doc_id"].eqNullSafe(repeats["doc_id"]) & (rows["mark"] == repeats["mark"])
-    joined = rows.join(repeats, same, "left").select(rows["doc_id"], "text", "gone")
+    same = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.mark") == F.col("f.mark"))
+    joined = rows.alias("r").join(repeats.alias("f"), same, "left").select("r.doc_id", "text", "gone")
     return joined.mapInArrow(
         _remover(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
@@ -210,7 +210,7 @@ def _finder(window: int):
     """All windows of a bucket that start earlier elsewhere, as runs of windows."""
 
     def find(table: pa.Table) -> pa.Table:
-        kinds = (np.int64, np.int32, np.int64, np.int64, np.bool_, None)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.bool_, None)
         parts = [unpack(blob.as_py(), *kinds) for blob in table.column("blob")]
         ids, marks, starts, sizes, local = (np.concatenate([p[i] for p in parts]) for i in range(5))
         text = np.frombuffer(b"\n".join(p[5] for p in parts), dtype=np.uint8)

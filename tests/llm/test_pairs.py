@@ -5,8 +5,10 @@ import collections
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import components, decontaminate, jaccard, substrings
+from strata.llm.rows import told_apart
 from tests.llm.cases import ALNUM, LOWER, digest, key, linked, no_documents, odd_documents, shingles, without_repeats
 
 
@@ -128,3 +130,29 @@ def test_empty_tables(spark):
     frame, rows = odd_documents(spark, ["some text", None])
     nothing = decontaminate.contaminated(frame, spark.createDataFrame([], "item_id long, text string")).collect()
     assert [r["contaminated"] for r in nothing] == [False] * len(rows)
+
+
+def same_hash(spark):
+    """Pairs of different texts whose 32-bit hashes are equal."""
+    texts = spark.range(400_000).select(F.format_string("%07d xxxxxxxx", "id").alias("t"))
+    pairs = texts.groupBy(F.hash("t").alias("h")).agg(F.sort_array(F.collect_list("t")).alias("t")).where("size(t) > 1")
+    return pairs.orderBy("h").first()["t"][:2]
+
+
+@pytest.mark.parametrize("name", [None, 7])
+def test_rows_of_one_id_are_told_apart_whatever_their_hashes(spark, name):
+    passage = " ".join(f"p{i}" for i in range(40))
+    # appending the same words keeps hashes of equal length texts equal or not; either way rows must not mix
+    short, other = same_hash(spark)
+    rows = [(1, passage), (name, short), (name, other), (name, passage + " tail"), (name, "clean " * 3 + passage[:30]), (name, short), (name, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substrings.repeated_passages(frame).collect()), key=key)
+    plain = without_repeats(rows)
+    assert got == sorted(((r[0], n, gone, digest(kept), kept) for r, (n, gone, kept) in zip(rows, plain)), key=key)
+    apart = told_apart(frame)
+    assert apart.count() == len(rows) == apart.select("doc_id", "mark").distinct().count()
+    items = [(1, passage), (2, "p3 p4 p5"), (3, short)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(frame, benchmark, block_windows=3)
+    wanted = [(r[0], *hits(r[1], items)) for r in rows]
+    assert sorted((tuple(r)[:6] for r in found.collect()), key=key) == sorted(((i, n, h, len(m), digest(",".join(m)), h > 0) for i, n, h, m in wanted), key=key)
