@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,3 +52,16 @@ def text_embedding(codes: pd.Series) -> pd.Series:
     sums = bucket_sums(codes)
     length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     return pd.Series(list(np.divide(sums, length, out=np.zeros(sums.shape), where=length > 0).astype("float32")))
+
+
+_ENTRIES = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.IntegerType())]))
+
+
+@F.arrow_udf(_ENTRIES)
+def bucket_entries(codes: pa.Array) -> pa.Array:
+    """The buckets of a text whose counts do not cancel out, in order."""
+    sums = bucket_sums(codes.to_pylist()).astype("int32")
+    text, bucket = np.nonzero(sums)
+    ends = np.append(0, np.cumsum(np.bincount(text, minlength=len(sums)))).astype("int32")
+    entries = pa.StructArray.from_arrays([pa.array(bucket.astype("int32")), pa.array(sums[text, bucket])], ["bucket", "weight"])
+    return pa.ListArray.from_arrays(pa.array(ends), entries)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strata.operators.matching import join_on
-from strata.operators.ordered import BLOCK_ROWS, positions, running
+from strata.operators.ordered import BLOCK_ROWS, numbered, running
 from strata.session import workspace
 
 
@@ -34,10 +34,10 @@ def since(log: DataFrame, from_revision: int, prefix: str = "") -> DataFrame:
 
 
 def number_changes(changes: DataFrame, order: str, after: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Give the changes revisions after + 1, after + 2, ... in ``order``, a whole
-    number unique over the log. Blocks are numbered apart and then shifted."""
-    numbered = positions(changes, [], order, block_rows)
-    return numbered.withColumn("revision", F.col("position") + after).drop("position")
+    """Give the changes revisions after + 1, after + 2, ... in ``order``, whatever it
+    is; equal ones in some order. Blocks of rows are numbered apart and then shifted."""
+    placed = numbered(changes, [order], "position", block_rows)
+    return placed.withColumn("revision", F.col("position") + after + 1).drop("position")
 
 
 def create_if_absent(requests: DataFrame, state: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.errors import InvalidArgument
-from strata.functions.hashing import HASH_DIM, text_embedding, text_weights, token_codes
+from strata.functions.hashing import HASH_DIM, bucket_entries, text_embedding, text_weights, token_codes
 from strata.operators.selection import top_per_group
 from strata.session import workspace
 
@@ -21,9 +21,9 @@ CORPUS_STEP = 1024
 def bucket_weights(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, bucket, weight): signed token counts, buckets that cancel out left out."""
     # "outer" because otherwise Spark first filters by the array's size, which
-    # would work every text twice; the arrays are never empty
-    dense = rows.select(id_column, text_weights(token_codes(F.col(text_column))).alias("weights"))
-    return dense.select(id_column, F.posexplode_outer("weights").alias("bucket", "weight")).where(F.col("weight") != 0)
+    # would work every text twice; empty texts come out as one null entry
+    some = rows.select(id_column, F.explode_outer(bucket_entries(token_codes(F.col(text_column)))).alias("entry"))
+    return some.where(F.col("entry").isNotNull()).select(id_column, "entry.bucket", "entry.weight")
 
 
 def hash_256(text: Column) -> Column:

@@ -122,8 +122,9 @@ class VersionedTable:
 
     # -- staging and committing --------------------------------------------
 
-    def stage(self, frame: DataFrame, expected_rows: int | None = None, measures: dict | None = None) -> Staged:
-        """Write rows without publishing them, counting them on the way.
+    def stage(self, frame: DataFrame, expected_rows: int | None = None, measures: dict | None = None, file_rows: int = 0) -> Staged:
+        """Write rows without publishing them, counting them on the way. A file holds
+        at most ``file_rows`` rows, 0 being no limit.
 
         An input that declares its row count and delivers another is refused.
         """
@@ -143,7 +144,7 @@ class VersionedTable:
         hidden = [name for name in frame.columns if name.startswith("_strata_")]
         schema = T.StructType([f for f in frame.schema.fields if f.name not in hidden])
         observed = frame.observe(counted, *metrics).drop(*hidden)
-        observed.write.partitionBy(*partition_by).parquet(f"{self.data}/{write_id}")
+        observed.write.option("maxRecordsPerFile", file_rows).partitionBy(*partition_by).parquet(f"{self.data}/{write_id}")
         seen = counted.get
         rows = seen.get("rows", 0)
         if any(seen.get(f"_empty_{i}") for i in range(len(strings))):
@@ -378,7 +379,8 @@ class VersionedTable:
     # -- upkeep ------------------------------------------------------------
 
     def maintain(self, file_bytes: int = DEFAULT_FILE_BYTES, key: str = "") -> WriteResult:
-        """Rewrite the table into files of about ``file_bytes`` bytes."""
+        """Rewrite the table into files of about ``file_bytes`` bytes; in a partitioned
+        table that is the most a file gets, as partitions have their own files."""
         done, head, version = self.begin(key, None)
         if done:
             return done
@@ -389,9 +391,12 @@ class VersionedTable:
         if folders:
             size = self._bytes(folders)
             rows = self.load(folders, schema)
-            if not self.partition_by:
+            file_rows = 0
+            if self.partition_by:
+                file_rows = max(1, rows.count() * file_bytes // max(size, 1))
+            else:
                 rows = rows.repartition(max(1, -(-size // file_bytes)))
-            folders = self.stage(rows).folders
+            folders = self.stage(rows, file_rows=file_rows).folders
         return self.commit(folders, schema, "maintain", None, version, key)
 
     def _bytes(self, folders) -> int:

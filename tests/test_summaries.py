@@ -127,3 +127,21 @@ def test_gini(spark):
     rows = [("even", 2.0), ("even", 2.0), ("one", 0.0), ("one", 5.0), ("one", None), ("none", None), ("zero", 0.0)]
     found = query(spark, "SELECT k, gini(v) AS g FROM t GROUP BY k", {"t": spark.createDataFrame(rows, "k string, v double")})
     assert as_set(found) == [("even", 0.0), ("none", None), ("one", 0.5), ("zero", None)]
+
+
+def test_unique_checks_share_one_shuffle(spark, capsys):
+    from strata.plans.quality import report, unique
+
+    rows = [(1, "a", 0.0), (1, "b", -0.0), (2, None, float("nan")), (2, "b", float("nan")), (None, "b", None), (3, "b", 7.0)]
+    frame = spark.createDataFrame(rows, "i int, s string, d double")
+    checks = [unique("i"), unique("s"), unique("i", "s"), unique("d"), unique("i", "s", "d", severity="warn")]
+    found = report(frame, checks)
+    assert as_set(found, "test", "violations", "severity", "passed") == sorted(
+        [
+            ("unique_i", 2, "error", False), ("unique_s", 1, "error", False), ("unique_i_s", 0, "error", True),
+            ("unique_d", 2, "error", False), ("unique_i_s_d", 0, "warn", True),
+        ],
+        key=repr,
+    )
+    found.explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD") <= 1

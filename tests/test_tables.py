@@ -3,6 +3,7 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata import FailedPrecondition, InvalidArgument, NotFound, VersionedTable
 from strata.plans.publish import write_audit_publish
@@ -226,3 +227,15 @@ def test_commit_files_through_the_hadoop_client(spark, folder):
     assert files.create("1.json", '{"a": "é"}') and not files.create("1.json", "{}")
     assert files.read("1.json") == '{"a": "é"}'
     assert [n for n in files.names() if not n.startswith(".")] == ["1.json"]
+
+
+def test_maintain_keeps_files_of_a_partitioned_table_small(spark, folder):
+    table = VersionedTable(spark, folder, partition_by=("p",))
+    rows = spark.range(20_000).select((F.col("id") % 2).cast("int").alias("p"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    table.append(rows)
+    before = as_set(table.read().groupBy("p").count())
+    table.maintain(file_bytes=100_000)
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{table.data}/{f}" for f in table.head()["folders"]])
+    found = [row.length for row in sizes.select("length").collect()]
+    assert len(found) >= 10 and max(found) < 200_000
+    assert as_set(table.read().groupBy("p").count()) == before
