@@ -43,7 +43,8 @@ from strata.llm.tokens import Words, mix, pack, running, slices, spans, unpack
 
 WORDS = 5
 BAND = 1.5
-FLUSH_SIGNATURES = 1 << 20
+FLUSH_SIGNATURES = 1 << 19
+SLICE_BYTES = 1 << 20  # of text that is cut into shingles at once
 BUCKET_SIGNATURES = 1 << 19
 SPARE = 5  # segments a set uses beyond what it needs
 CROWD = 32  # pairs a signature may make for each of its sets
@@ -176,7 +177,7 @@ def _sender(buckets: int):
 
     def send(batches):
         held = _Waiting()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             for name, elements in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
                 held.add(name, elements)
             if held.waiting >= FLUSH_SIGNATURES:
@@ -416,7 +417,7 @@ def _with_company(texts: DataFrame, short: DataFrame) -> DataFrame:
 
     def send(batches):
         elements, owners, kinds, waiting = [], [], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             for name, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
                 elements.append(found)
                 owners.append(np.full(len(found), name, dtype=np.int64))
@@ -468,7 +469,7 @@ def _company(table: pa.Table) -> pa.Table:
 
 def _neighbourhood_rows(texts: DataFrame, short: DataFrame) -> DataFrame:
     def make(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             sets = [neighbourhoods(x) for x in shingle_sets(batch.column("text"))]
             names = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays(
@@ -527,7 +528,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _compare(batches):
     key, leaders = None, []
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         found = []
         columns = [batch.column(c).to_pylist() for c in ("a", "part", "leads", "doc")]
         for a, part, leads, doc, elements in zip(*columns, shingle_sets(batch.column("text"))):
