@@ -24,11 +24,30 @@ def registered(name: str, sql: str | None = None):
     return keep
 
 
+# Shuffle files go as soon as the job that made them ends, instead of when the driver
+# happens to collect garbage. Nothing reads them again: what follows reads the table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: what follows starts
     from files every executor can reach."""
     from strata.session import workspace
 
-    folder = workspace(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    spark, folder = frame.sparkSession, workspace(frame.sparkSession, purpose)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    made = spark.read.schema(frame.schema).parquet(folder)
+    made.folder = folder
+    return made
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` returned, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

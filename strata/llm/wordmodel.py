@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.registry import written
+from strata.llm.registry import discard, written
 from strata.llm.tokens import Words, mix, pack, running, slices, spans, unpack
 
 FLUSH_WORDS = 1 << 20
@@ -347,13 +347,23 @@ def word_scores(documents: DataFrame) -> DataFrame:
     rows = documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, size // 6 // BUCKET_GRAMS)
-    told = written(rows.mapInArrow(_kept, _ROWS), "blocks")
-    asked = told.mapInArrow(_first_asking(buckets), _ROWS)
+    blocks = written(rows.mapInArrow(_kept, _ROWS), "blocks")
+    asked, answers = blocks.mapInArrow(_first_asking(buckets), _ROWS), []
     totals: dict[tuple[int, int], np.ndarray] = {}
     for order in (3, 2, 1):
-        told = told.union(written(asked.where(F.col("kind") == order).groupBy("bucket").applyInArrow(_meeting(order), _ROWS), "answers"))
-        asked = written(told.groupBy("block").applyInArrow(_asking(order - 1, buckets), _ROWS), "asked")
+        answers.append(written(asked.where(F.col("kind") == order).groupBy("bucket").applyInArrow(_meeting(order), _ROWS), "answers"))
+        if order < 3:
+            discard(asked)
+        # what is said of shorter grams comes from the answers on these alone
+        asked = written(blocks.union(answers[-1]).groupBy("block").applyInArrow(_asking(order - 1, buckets), _ROWS), "asked")
         for name, number, blob in asked.where(F.col("kind") == TOTALS).select("block", "bucket", "blob").toLocalIterator():
             totals[name, number] = totals.get((name, number), 0) + unpack(bytes(blob), np.int64)[0]
+    discard(asked)
+    told = blocks
+    for answer in answers:
+        told = told.union(answer)
     found = told.groupBy("block").applyInArrow(_finisher(buckets, totals), "key long, score double")
-    return written(found.groupBy("key").agg(F.min("score").alias("score")), "word-scores")
+    made = written(found.groupBy("key").agg(F.min("score").alias("score")), "word-scores")
+    for table in (blocks, *answers):
+        discard(table)
+    return made
