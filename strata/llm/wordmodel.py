@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from strata.llm.registry import discard, written
 from strata.llm.tokens import Words, mix, pack, running, slices, spans, unpack
 
-FLUSH_WORDS = 1 << 20
+FLUSH_WORDS = 1 << 19
 BUCKET_GRAMS = 1 << 20
 TEXTS, TOTALS = 9, 0  # kinds of rows beside orders (1 to 3) and answers (-1 to -3)
 _U = np.uint64
