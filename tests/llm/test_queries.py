@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from strata.llm.registry import ORACLES, QUERIES
+from strata.llm.queries import ORACLES, QUERIES
 from suite.check import compare, open_database
 
 SMALL = "/root/testdata/sf0.001"
