@@ -93,10 +93,9 @@ def search_many_parts(spark, sf_dir):
     needles = whose.join(part, F.col("c_custkey") == F.col("p_partkey")).select(
         F.col("c_custkey").alias("request_id"), F.expr("upper(substr(p_name, 1 + c_custkey % 4, 1 + c_custkey % 7))").alias("query"), F.col("p_type").alias("wanted")
     )
-    found = search_many(needles, part, "p_partkey", ["p_name", "p_brand"], condition=F.col("p_type") == F.col("wanted"), slice_rows=2_000)
-    counted = found.groupBy("request_id", "query").agg(
-        F.count(F.lit(1)).alias("found"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last")
-    )
+    totals = {"found": ("count", F.lit(1)), "first": ("min", F.col("p_partkey")), "last": ("max", F.col("p_partkey"))}
+    found = search_many(needles, part, "p_partkey", ["p_name", "p_brand"], slice_rows=2_000, totals=totals, same={"wanted": "p_type"})
+    counted = found.groupBy("request_id", "query").agg(F.sum("found").alias("found"), F.min("first").alias("first"), F.max("last").alias("last"))
     asked = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.expr("substr(p_name, 1 + p_partkey % 4, 1 + p_partkey % 7)").alias("query"))
     return counted.drop("query").join(asked, "request_id")
 

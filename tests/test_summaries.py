@@ -98,6 +98,34 @@ def test_searches_find_what_a_scan_finds(spark, slice_rows):
     assert nobody.collect() == [] and search_many(asked, frame.limit(0), "id", ["name"]).collect() == []
 
 
+@pytest.mark.parametrize("whole", [2, postings.WHOLE])
+def test_totals_of_searches_are_those_of_their_pairs(spark, monkeypatch, whole):
+    monkeypatch.setattr(postings, "WHOLE", whole)
+    draw = random.Random(6)
+    word = lambda n: "".join(draw.choice("abAB éß日") for _ in range(n))
+    listings = [(i, draw.choice([None, "", word(3), word(12), word(30)]), draw.choice([None, word(6)]), draw.choice([0, 1, None])) for i in range(80)]
+    needles = [None, "", "a", "B", " ", "ab", "aba", listings[3][1], word(11)] + [(listings[n][1] or "x")[1:11] for n in range(40)]
+    frame = spark.createDataFrame(listings, "id int, name string, about string, kind int")
+    asked = spark.createDataFrame([(n, q, draw.choice([0, 1, None])) for n, q in enumerate(needles)], "request_id int, query string, wanted int")
+    totals = {"n": ("count", F.lit(1)), "abouts": ("count", F.col("about")), "first": ("min", F.col("id")), "last": ("max", F.col("id"))}
+    found = search_many(asked, frame, "id", ["name", "about"], totals=totals, same={"wanted": "kind"})
+    pairs = search_many(asked, frame, "id", ["name", "about"], same={"wanted": "kind"})
+    wanted = pairs.groupBy("request_id", "query", "wanted").agg(
+        F.count(F.lit(1)).alias("n"), F.count("about").alias("abouts"), F.min("id").alias("first"), F.max("id").alias("last")
+    )
+    assert found.columns == wanted.columns and as_set(found) == as_set(wanted) != []
+
+
+def test_totals_of_searches_make_no_pairs(spark):
+    """Every request finds every listing: 4 million pairs, of which none is made."""
+    frame = spark.range(2000).select("id", F.lit("abc").alias("name"))
+    asked = frame.select(F.col("id").alias("request_id"), F.lit("b").alias("query"))
+    found = search_many(asked, frame, "id", ["name"], totals={"n": ("count", F.lit(1))})
+    assert found.agg(F.min("n"), F.max("n"), F.count("n")).first() == (2000, 2000, 2000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "listing" not in plan
+
+
 def test_no_cross_product_in_a_search(spark, capsys):
     frame = spark.createDataFrame([(1, "abc")], "id int, name string")
     search_many(spark.createDataFrame([(1, "b")], "request_id int, query string"), frame, "id", ["name"]).explain()
