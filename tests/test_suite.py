@@ -55,6 +55,14 @@ def test_partition_count_does_not_matter(spark, load):
     assert results[0] == results[1]
 
 
+def test_sketches_are_kept_for_flags_not_for_keys(spark):
+    """Aggregates that hold a sketch group by the flag alone."""
+    found = contract.queries()["sql_approximate"](spark, SMALL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.splitlines() if "Aggregate(" in line and "percentile" in line]
+    assert sketches and not any("l_partkey" in line[line.index("keys=[") : line.index("]", line.index("keys=["))] for line in sketches)
+
+
 def test_filters_and_columns_reach_the_scan(spark, capsys):
     table = VersionedTable(spark, workspace(spark, "pushed"))
     table.append(spark.read.parquet(f"{SMALL}/orders.parquet"))
