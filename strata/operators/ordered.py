@@ -27,11 +27,15 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "_at",
     """Add the number of each row, from 0 on, in ``order`` over all rows; equal rows are
     put in some order, too.
 
-    Rows are dealt to ranges of about ``block_rows``, sorted there and written; what
-    comes before a range is known from the sizes of the others, one number each.
+    Rows are dealt to ranges, sorted there and written; what comes before a range is
+    known from the sizes of the others, one number each. A range is about ``block_rows``
+    long, or longer where these would be more than the session's shuffles have
+    partitions: sorts spill, and the driver hears of every range from every task.
     """
     spark, folder = rows.sparkSession, workspace(rows.sparkSession, "numbered")
-    ranges = max(1, -(-rows.count() // block_rows))
+    count = rows.count()
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // BLOCK_ROWS))
+    ranges = max(1, min(-(-count // block_rows), most))
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())
     dealt = tied.repartitionByRange(ranges, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     placed = dealt.withColumn("_place", F.monotonically_increasing_id())  # range * 2**33 + place in it

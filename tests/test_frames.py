@@ -92,6 +92,14 @@ def test_rows_are_numbered_in_order_without_gaps(spark):
     assert [at[r[0]] for r in order] == list(range(len(rows)))
 
 
+def test_short_blocks_do_not_make_many_ranges(spark):
+    """Tasks and range bounds go through the driver; blocks need not be ranges."""
+    rows = spark.range(3000).withColumn("v", F.col("id") * 7919 % 3001)
+    placed = numbered(rows, ["v"], "n", 10)
+    assert len(placed.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [n for _, n in sorted(as_set(placed, "v", "n"))] == list(range(3000))
+
+
 def test_no_task_holds_a_hot_key(spark, monkeypatch):
     """One key has all rows; blocks, with their halos, hold few of them."""
     rows, seen = spark.range(3000).select(F.col("id").alias("i"), F.col("id").alias("v"), F.lit(1).alias("x")), []
