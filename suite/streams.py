@@ -86,12 +86,23 @@ def stream_incremental_load(spark, sf_dir):
     return table.read().drop("ts")
 
 
-def in_batches(spark, rows, batches: int):
-    """A stream of which every micro-batch is the rows with the next ``batch``."""
-    folder = workspace(spark, "feed")
+FILE_ROWS = 1_000_000
+
+
+def in_batches(spark, rows, batches: int, file_rows: int = FILE_ROWS):
+    """A stream of which every micro-batch is the rows with the next ``batch``: as many
+    files for each, of about ``file_rows`` rows in the largest one, some of them empty."""
+    folder, staged, schema = workspace(spark, "feed"), workspace(spark, "dealt"), rows.drop("batch").schema
+    rows.write.parquet(staged)
+    dealt = spark.read.schema(rows.schema).parquet(staged)
+    largest = max((n for _, n in dealt.groupBy("batch").count().collect()), default=0)
+    files = max(1, -(-largest // file_rows))
     for batch in range(batches):
-        rows.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        one = dealt.where(F.col("batch") == batch).drop("batch")
+        (one.repartition(files) if files > 1 else one.coalesce(1)).write.mode("append").parquet(folder)
+        for _ in range(len(spark.read.schema(schema).parquet(folder).inputFiles()), files * (batch + 1)):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @registered(

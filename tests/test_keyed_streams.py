@@ -58,6 +58,38 @@ def test_events_go_out_in_order_across_restarts(spark):
     assert sorted(late, key=repr) == sorted([("b", 3, None), ("hot", None, None)], key=repr)
 
 
+def test_a_key_waits_in_packs(spark, monkeypatch):
+    """Thousands of events before the first one, in any order, are as many packs as blocks."""
+    monkeypatch.setattr(keyed, "PACKED_ROWS", 1500)
+    batches = []
+    for found in keyed._packed(iter(spark.range(5000).selectExpr("cast(null as string) partition_key", "shiftright(id, 10) block", "id number", "'{}' event", "id at").toArrow().to_batches(700))):
+        batches += [(row["block"], len(row["numbers"]) // 8) for row in found.to_pylist()]
+    assert sum(n for _, n in batches) == 5000 and len(batches) < 12
+    draw = random.Random(8)
+    numbers = list(range(1, 4000)) + [7, 3000, None]
+    draw.shuffle(numbers)
+    run = Run(spark, EVENT, lambda s: keyed.in_order(s, "k", "n", at="t", patience_ms=10_000))
+    first = [n for n in numbers if n not in (1, 2500)]
+    assert {r.outcome for r in run.land([("a", n, second(0), 0) for n in first])} == {keyed.LATE}
+    run.land([("a", 1, second(1), 0)])
+    found = run.land([("z", 1, second(30), 0)])
+    a = [r for r in found if r.partition_key == "a"]
+    released = sorted((r.number, r.position) for r in a if r.outcome == keyed.RELEASED)
+    assert released == [(n, n - (n > 2500)) for n in range(1, 4000) if n != 2500]
+    assert [(r.number, r.event) for r in a if r.outcome == keyed.SKIPPED] == [(2500, "1")]
+    assert sorted((r.number for r in a if r.outcome == keyed.LATE), key=repr) == [3000, 7, None]
+    assert all(json.loads(r.event).get("n") == r.number for r in a if r.outcome != keyed.SKIPPED)
+
+
+def test_micro_batches_of_several_files(spark):
+    from suite.streams import in_batches
+
+    rows = spark.range(100).select("id", F.when(F.col("id") < 90, F.col("id") % 2).otherwise(2).cast("int").alias("batch")).where("id <= 90")
+    seen, stream = [], in_batches(spark, rows, 3, 10)
+    drain(stream.writeStream.foreachBatch(lambda found, _: seen.append(sorted(r.id for r in found.collect()))), workspace(spark, "checkpoint"))
+    assert seen == [list(range(0, 90, 2)), list(range(1, 90, 2)), [90]]
+
+
 def test_patience_ends_a_wait(spark):
     run = Run(spark, EVENT, lambda s: keyed.in_order(s, "k", "n", at="t", patience_ms=10_000))
     run.land([("a", 1, second(0), 0), ("a", 4, second(1), 0), ("a", 5, second(8), 0), ("a", 7, second(9), 0)])
