@@ -8,6 +8,7 @@ the last batch ended. It needs the RocksDB store (``keyed_state`` sets it up).
 from __future__ import annotations
 
 import contextlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 BLOCK_BITS = 10
 BLOCK = 1 << BLOCK_BITS
 PACKED_ROWS = 200_000
+BUCKETS = 1 << 14
 RELEASED, LATE, SKIPPED = "released", "late", "skipped"
 
 
@@ -280,46 +282,60 @@ SCHEDULE, CANCEL, CLOCK = "schedule", "cancel", "clock"
 
 
 class _Triggers(StatefulProcessor):
-    """The state of one trigger: when it is due, and how often it has been set."""
+    """The state of a bucket of triggers: when each is due, how often it has been set and
+    by which command. The bucket has one timer, for the first of them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "at long")
-        self.set = handle.getValueState("set", "times long, seq long")
+        self.held = handle.getValueState("held", "triggers string")
+        self.alarm = handle.getValueState("alarm", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0] is None:
-            return
-        times, seen = self.set.get() if self.set.exists() else (0, None)
-        # of the commands of a batch only the last one counts; their number is known
-        last = max((row for row in rows if row.command != CLOCK), key=lambda r: (r.seq, r.command == CANCEL, r.at or 0), default=None)
-        if last is None or (seen is not None and last.seq < seen):
-            return
-        self._drop()
-        if last.command == SCHEDULE and last.at is not None and last.at > 0:
-            times += 1
-            self.handle.registerTimer(last.at)
-            self.due.update((last.at,))
-        self.set.update((times, last.seq))
+        # of the commands of a batch only the last one of a trigger counts
+        last: dict = {}
+        for row in rows:
+            if row.trigger_id is None or row.command == CLOCK:
+                continue
+            rank = (row.seq, row.command == CANCEL, row.at or 0)
+            if row.trigger_id not in last or rank > last[row.trigger_id][0]:
+                last[row.trigger_id] = (rank, row.at if row.command == SCHEDULE and row.at is not None and row.at > 0 else None)
+        if last:
+            held = self._read()
+            for trigger, ((seq, *_), at) in last.items():
+                _, times, seen = held.get(trigger, (None, 0, None))
+                if seen is None or seq >= seen:
+                    held[trigger] = (at, times + (at is not None), seq)
+            self._keep(held)
         yield from ()
 
-    def _drop(self) -> None:
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-            self.due.clear()
+    def _read(self) -> dict:
+        found = self.held.get()
+        return json.loads(found[0]) if found else {}
+
+    def _keep(self, held: dict) -> None:
+        self.held.update((json.dumps(held),))
+        before, first = self.alarm.get(), min((at for at, _, _ in held.values() if at is not None), default=None)
+        if before and before[0] != first:
+            self.handle.deleteTimer(before[0])
+            self.alarm.clear()
+        if first is not None and not (before and before[0] == first):
+            self.handle.registerTimer(first)
+            self.alarm.update((first,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.due.exists() or self.due.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        at, times = self.due.get()[0], self.set.get()[0]
-        self.due.clear()
-        yield Row(trigger_id=key[0], at_unix_ms=at, fired_at_unix_ms=timerValues.getCurrentWatermarkInMs(), delivery_id=f"{key[0]}#{times}")
+        now, held = timerValues.getCurrentWatermarkInMs(), self._read()
+        self.alarm.clear()
+        for trigger, (at, times, seq) in held.items():
+            if at is not None and at <= now:
+                held[trigger] = (None, times, seq)
+                yield Row(trigger_id=trigger, at_unix_ms=at, fired_at_unix_ms=now, delivery_id=f"{trigger}#{times}")
+        self._keep(held)
 
     def close(self) -> None:
         pass
 
 
-def fire(commands: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def fire(commands: DataFrame, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Triggers of (trigger_id, command, at_unix_ms, seq, time) that have come due.
 
     ``schedule`` sets a trigger to a time, again if it was set before, fired or
@@ -330,10 +346,13 @@ def fire(commands: DataFrame, delay: str = "0 seconds") -> DataFrame:
     never come.
 
     Every setting fires at most once and has a ``delivery_id`` of its own, the same if
-    a batch is run again; keep those that a sink has seen.
+    a batch is run again; keep those that a sink has seen. Triggers are dealt to
+    ``buckets`` by hash; a batch reads and writes the buckets it has commands for, so
+    take more of them where very many triggers are kept and few are set at a time.
     """
     timed = commands.withWatermark("time", delay) if commands.isStreaming else commands
     # without the column of the watermark, or Spark would drop what is behind it
-    rows = timed.select("trigger_id", "command", F.col("at_unix_ms").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"))
+    bucket = F.pmod(F.xxhash64("trigger_id"), F.lit(buckets)).alias("bucket")
+    rows = timed.select(bucket, "trigger_id", "command", F.col("at_unix_ms").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"))
     schema = "trigger_id string, at_unix_ms long, fired_at_unix_ms long, delivery_id string"
-    return rows.groupBy("trigger_id").transformWithState(_Triggers(), schema, "append", "eventTime")
+    return rows.groupBy("bucket").transformWithState(_Triggers(), schema, "append", "eventTime")

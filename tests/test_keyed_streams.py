@@ -117,6 +117,29 @@ def test_triggers_fire_once_when_due(spark):
     assert sorted(r.delivery_id for r in fired) == ["a#1", "a#2", "c#1", "g#1", "past#1"]
 
 
+def test_triggers_of_a_time_fire_once_the_clock_reads_it(spark):
+    run = Run(spark, COMMAND, keyed.fire)
+    run.land([("a", "schedule", ms(10), 1, second(0)), ("b", "schedule", ms(10) + 1, 2, second(0))])
+    fired = run.land([("clock", "clock", None, 0, second(10))])
+    assert [r.delivery_id for r in fired] == ["a#1"]
+
+
+def test_triggers_share_buckets(spark):
+    """All triggers in two buckets, whose timers move on with what is left of them."""
+    run = Run(spark, COMMAND, lambda s: keyed.fire(s, buckets=2))
+    made = [(f"t{i}", "schedule", ms(1 + i % 50), i, second(0)) for i in range(500)]
+    run.land(made + [("t7", "cancel", None, 1000, second(0)), ("t8", "schedule", ms(200), 1001, second(0))])
+    fired = run.land([("clock", "clock", None, 0, second(21))])
+    first = {f"t{i}#1" for i in range(500) if i % 50 < 20} - {"t7#1", "t8#1"}
+    assert {r.delivery_id for r in fired} >= first and len(fired) == len({r.delivery_id for r in fired})
+    fired = run.land([("t9", "schedule", ms(30), 1002, second(22)), ("clock", "clock", None, 0, second(100))])
+    assert sorted(r.delivery_id for r in fired) == sorted([f"t{i}#1" for i in range(500) if i not in (7, 8)] + ["t9#2"])
+    with keyed.keyed_state(spark):
+        stream = keyed.fire(spark.readStream.schema(COMMAND).parquet(run.path), buckets=2)
+        query = drain(stream.writeStream.format("noop"), workspace(spark, "checkpoint"))
+    assert 0 < query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] < 20
+
+
 def changes(spark, first, last):
     key = F.concat(F.when(F.col("id") % 2 == 0, "even/").otherwise("odd/"), F.col("id").cast("string"))
     return spark.range(first, last + 1).select(key.alias("key"), (F.col("id") * 7).cast("string").alias("value"), F.col("id").alias("revision"))
