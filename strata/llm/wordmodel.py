@@ -34,6 +34,7 @@ from strata.llm.tokens import Words, mix, pack, running, slices, spans, unpack
 
 FLUSH_WORDS = 1 << 19
 BUCKET_GRAMS = 1 << 20
+PARTS = 4  # in which tables meet, so that shuffle files are a part of them at a time
 TEXTS, TOTALS = 9, 0  # kinds of rows beside orders (1 to 3) and answers (-1 to -3)
 _U = np.uint64
 _ROWS = "kind int, bucket int, block long, blob binary"
@@ -75,6 +76,11 @@ def _narrow(values: np.ndarray, wide: int) -> np.ndarray:
     return np.ascontiguousarray(np.ascontiguousarray(values, dtype=np.uint64).view(np.uint8).reshape(-1, 8)[:, :wide].T)
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """Numbers that are mostly small, in as many bytes as the largest needs."""
+    return _narrow(values, max(1, -(-int(values.max(initial=0)).bit_length() // 8)))
+
+
 def _widened(body: bytes, wide: int) -> np.ndarray:
     data = np.frombuffer(body, dtype=np.uint8).reshape(wide, -1)
     made = np.zeros((data.shape[1], 8), dtype=np.uint8)
@@ -82,6 +88,11 @@ def _widened(body: bytes, wide: int) -> np.ndarray:
     return made.view(np.uint64).ravel()
 
 
+def _numbers(bodies: list[bytes], count: int) -> list[np.ndarray]:
+    """The ``count`` numbers of each of what ``_small`` made."""
+    return [_widened(body, len(body) // count).view(np.int64) for body in bodies]
+
+
 def _routed(columns: list[np.ndarray], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The grams' hashes and places, in order, bucket by bucket."""
     key = _key(columns)
@@ -95,7 +106,7 @@ def _sent(order: int, columns: list[np.ndarray], values: list[np.ndarray], bucke
     for number, (key, part) in enumerate(_routed(columns, buckets)):
         if len(part):
             steps = np.diff(key, prepend=_U(0))
-            yield order, number, block, pack(_narrow(steps, 6), *[v[part].astype(np.int64) for v in values], level=3)
+            yield order, number, block, pack(_narrow(steps, 6), *[_small(v[part]) for v in values], level=3)
 
 
 class Grams:
@@ -191,9 +202,9 @@ def _meeting(order: int):
         sizes, keys, values = [], [], []
         by = np.argsort(blocks)
         for i in by.tolist():
-            body = unpack(table.column("blob")[i].as_py(), None, *[np.int64] * fields)
-            keys.append(np.cumsum(_widened(body[0], 6)))
-            values.append(np.stack(body[1:]))
+            steps, *body = unpack(table.column("blob")[i].as_py(), *[None] * (fields + 1))
+            keys.append(np.cumsum(_widened(steps, 6)))
+            values.append(np.stack(_numbers(body, len(keys[-1]))))
             sizes.append(len(keys[-1]))
         _, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         owner = np.zeros(len(which), dtype=np.int64)
@@ -202,7 +213,7 @@ def _meeting(order: int):
         sums = [np.bincount(which, weights=v, minlength=len(first)).astype(np.int64) for v in values]
         ends = np.cumsum(sizes).tolist()
         rows = [
-            (-order, number, blocks[i], pack(*[s[which[end - size : end]] for s in sums], owner[end - size : end], level=3))
+            (-order, number, blocks[i], pack(*[_small(s[which[end - size : end]]) for s in sums], _small(owner[end - size : end]), level=3))
             for i, size, end in zip(by.tolist(), sizes, ends)
         ]
         return pa.Table.from_arrays(_rows(rows), ["kind", "bucket", "block", "blob"])
@@ -217,14 +228,15 @@ def _known(table: pa.Table, buckets: int):
         if kind == TEXTS:
             block = _read(blob.as_py())
         else:
-            told.setdefault(-kind, {})[bucket] = unpack(blob.as_py(), *[np.int64] * (2 if kind == -3 else _FIELDS + 1))
+            told.setdefault(-kind, {})[bucket] = unpack(blob.as_py(), *[None] * (2 if kind == -3 else _FIELDS + 1))
     grams, answers = Grams(*block[:4], block[5]), {}
     for order, parts in told.items():
         columns = grams.columns(order)
         answers[order] = [np.zeros(len(columns[0]), dtype=np.int64) for _ in next(iter(parts.values()))]
         for number, (_, part) in enumerate(_routed(columns, buckets)):
-            for to, values in zip(answers[order], parts.get(number, ())):
-                to[part] = values
+            if number in parts:
+                for to, values in zip(answers[order], _numbers(parts[number], len(part))):
+                    to[part] = values
     return block, grams, answers
 
 
@@ -342,28 +354,42 @@ def _finisher(buckets: int, totals: dict):
     return finish
 
 
+def _in_parts(rows: DataFrame, by: str, work, kinds: str, purpose: str) -> list[DataFrame]:
+    """Tables of what ``work`` makes of the rows of each ``by``, one part of them after
+    another."""
+    part = F.pmod(F.hash(by), F.lit(PARTS))
+    return [written(rows.where(part == n).groupBy(by).applyInArrow(work, kinds), purpose) for n in range(PARTS)]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    made = tables[0]
+    for more in tables[1:]:
+        made = made.union(more)
+    return made
+
+
 def word_scores(documents: DataFrame) -> DataFrame:
     """(key, score) of all different texts of (text, lang) that have words."""
     rows = documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, size // 6 // BUCKET_GRAMS)
     blocks = written(rows.mapInArrow(_kept, _ROWS), "blocks")
-    asked, answers = blocks.mapInArrow(_first_asking(buckets), _ROWS), []
+    first = blocks.mapInArrow(_first_asking(buckets), _ROWS)  # is no table, so it meets at once
+    answers = [written(first.groupBy("bucket").applyInArrow(_meeting(3), _ROWS), "answers")]
     totals: dict[tuple[int, int], np.ndarray] = {}
-    for order in (3, 2, 1):
-        answers.append(written(asked.where(F.col("kind") == order).groupBy("bucket").applyInArrow(_meeting(order), _ROWS), "answers"))
-        if order < 3:
-            discard(asked)
+    latest = answers
+    for order in (2, 1, 0):
         # what is said of shorter grams comes from the answers on these alone
-        asked = written(blocks.union(answers[-1]).groupBy("block").applyInArrow(_asking(order - 1, buckets), _ROWS), "asked")
-        for name, number, blob in asked.where(F.col("kind") == TOTALS).select("block", "bucket", "blob").toLocalIterator():
+        asked = _in_parts(_union([blocks, *latest]), "block", _asking(order, buckets), _ROWS, "asked")
+        for name, number, blob in _union(asked).where(F.col("kind") == TOTALS).select("block", "bucket", "blob").toLocalIterator():
             totals[name, number] = totals.get((name, number), 0) + unpack(bytes(blob), np.int64)[0]
-    discard(asked)
-    told = blocks
-    for answer in answers:
-        told = told.union(answer)
-    found = told.groupBy("block").applyInArrow(_finisher(buckets, totals), "key long, score double")
-    made = written(found.groupBy("key").agg(F.min("score").alias("score")), "word-scores")
-    for table in (blocks, *answers):
+        if order:
+            latest = _in_parts(_union(asked).where(F.col("kind") == order), "bucket", _meeting(order), _ROWS, "answers")
+            answers += latest
+        for table in asked:
+            discard(table)
+    found = _in_parts(_union([blocks, *answers]), "block", _finisher(buckets, totals), "key long, score double", "scores-of-blocks")
+    made = written(_union(found).groupBy("key").agg(F.min("score").alias("score")), "word-scores")
+    for table in (blocks, *answers, *found):
         discard(table)
     return made
